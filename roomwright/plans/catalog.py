@@ -1,0 +1,4 @@
+"""Registered queries and their DuckDB equivalents."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
