@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .simhash import simhash_classes
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: 3-word shingles, links at 3 or fewer differing bits."""
+    found = simhash_classes(read_table(spark, sf_dir, "documents"), width=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded, and decoded again from its ids."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe_encode(read_table(spark, sf_dir, "documents"), vocabulary, decode=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +37,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 QUERIES = {
+    "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_bpe_codec": op6_bpe_codec,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLE_SQL = {
