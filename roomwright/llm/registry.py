@@ -7,11 +7,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .chat import conversation_digests, expand_conversations
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .language_id import fit_profiles, predict_language
+from .packing import pack
 from .simhash import simhash_classes
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts imitate control strings, read back from the formatted examples."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return conversation_digests(expand_conversations(turns.unionByName(extra)))
+
+
+def is_held_out(id_col: str = "doc_id"):
+    """Documents that no model may learn a language from."""
+    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = fit_profiles(docs.where(~is_held_out()))
+    return predict_language(docs, profiles).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, links at 3 or fewer differing bits."""
     found = simhash_classes(read_table(spark, sf_dir, "documents"), width=3, radius=3)
@@ -30,6 +52,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, neighbours on the curve together."""
+    pieces = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, end_id=2)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -37,9 +65,12 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL = {
     "op7_exact_dedup": OP7_SQL,
