@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding, with a contiguous rank array per short word.
 
-A word (a match of the pretokenizer's pattern) is held as a list of part boundaries and a list with the merge rank of
-each adjacent pair of parts. The smallest rank is searched, its boundary deleted, and the two neighbouring ranks
+A word (a match of the pretokenizer's pattern) is held as a contiguous list of the parts between its boundaries and a list
+with the merge rank of each adjacent pair of parts. The smallest rank is searched, its boundary deleted, and the two neighbouring ranks
 refreshed, until no pair can merge. Scanning is quadratic in the word's length, so words over `LONG_WORD` bytes take
 their minimum from a heap instead; the merges and the result are the same.
 
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 LONG_WORD = 200
 
 #: Unicode's White_Space, which the vocabulary's pattern means by \s.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "\\t-\\r " + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: The alternatives of the pretokenizer that the vocabulary was made with.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
@@ -62,9 +62,13 @@ class Codec:
             spec = json.load(file)
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
-        self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
+        vocab = spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        self.ids = {raw(t): i for t, i in vocab.items()}
+        self.single = [self.ids[bytes([b])] for b in range(256)]
+        #: Rank of a pair of adjacent parts, by the ids of both in one integer, and the id that each rank makes.
+        self.rank = {vocab[a] << 32 | vocab[b]: k for k, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = 1 + max([*self.ids.values(), *self.special.values()])
         self.token = [b""] * size
@@ -81,52 +85,51 @@ class Codec:
 
     def _word(self, word: str) -> bytes:
         data = word.encode()
-        if data in self.ids and len(data) < 2:
-            return array("I", [self.ids[data]]).tobytes()
-        cuts = self._merge_heap(data) if len(data) > LONG_WORD else self._merge_scan(data)
-        ids = self.ids
-        return array("I", [ids[data[a:b]] for a, b in zip(cuts, cuts[1:])]).tobytes()
+        parts = self._merge_heap(data) if len(data) > LONG_WORD else self._merge_scan(data)
+        return array("I", parts).tobytes()
 
     def _merge_scan(self, data: bytes) -> list[int]:
-        """Boundaries of the parts, by repeated scans for the smallest rank."""
-        none = len(self.rank)
-        find = self.rank.get
-        cuts = list(range(len(data) + 1))
-        ranks = [find((data[k : k + 1], data[k + 1 : k + 2]), none) for k in range(len(data) - 1)]
+        """Ids of the parts, by repeated scans for the smallest rank. parts[k] lies between boundaries k and k + 1, and ranks[k] is
+        the rank of joining it with its right neighbour; deleting parts[k + 1] deletes the boundary between them."""
+        none = len(self.made)
+        find, made, single = self.rank.get, self.made, self.single
+        parts = [single[b] for b in data]
+        ranks = [find(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == none:
                 break
             k = ranks.index(least)
-            del cuts[k + 1], ranks[k]
+            joined = parts[k] = made[least]
+            del parts[k + 1], ranks[k]
             if k < len(ranks):
-                ranks[k] = find((data[cuts[k] : cuts[k + 1]], data[cuts[k + 1] : cuts[k + 2]]), none)
+                ranks[k] = find(joined << 32 | parts[k + 1], none)
             if k:
-                ranks[k - 1] = find((data[cuts[k - 1] : cuts[k]], data[cuts[k] : cuts[k + 1]]), none)
-        return cuts
+                ranks[k - 1] = find(parts[k - 1] << 32 | joined, none)
+        return parts
 
     def _merge_heap(self, data: bytes) -> list[int]:
-        """The same boundaries for a long word: ranks in a heap, parts in a linked list."""
+        """The same ids for a long word: ranks in a heap, parts in a linked list."""
         n = len(data)
-        end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        parts = [self.single[b] for b in data]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         find = self.rank.get
-        heap = [(r, k, k + 2) for k in range(n - 1) if (r := find((data[k : k + 1], data[k + 1 : k + 2]))) is not None]
+        heap = [(r, k) for k in range(n - 1) if (r := find(parts[k] << 32 | parts[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, a, stop = heapq.heappop(heap)
-            if not alive[a] or end[a] >= n or end[end[a]] != stop:
-                continue
-            b = end[a]
-            if find((data[a:b], data[b:stop])) != _:
-                continue
-            alive[b], end[a] = False, stop
+            r, k = heapq.heappop(heap)
+            right = after[k]
+            if parts[k] < 0 or right >= n or find(parts[k] << 32 | parts[right]) != r:
+                continue  # one of the two has changed since
+            parts[k], parts[right] = self.made[r], -1
+            after[k] = stop = after[right]
             if stop < n:
-                before[stop] = a
-                if (r := find((data[a:stop], data[stop : end[stop]]))) is not None:
-                    heapq.heappush(heap, (r, a, end[stop]))
-            if (p := before[a]) >= 0 and (r := find((data[p:a], data[a:stop]))) is not None:
-                heapq.heappush(heap, (r, p, stop))
-        return [k for k in range(n) if alive[k]] + [n]
+                before[stop] = k
+                if (r := find(parts[k] << 32 | parts[stop])) is not None:
+                    heapq.heappush(heap, (r, k))
+            if (left := before[k]) >= 0 and (r := find(parts[left] << 32 | parts[k])) is not None:
+                heapq.heappush(heap, (r, left))
+        return [p for p in parts if p >= 0]
 
     def _matched(self, text: str) -> bytes:
         return b"".join(map(self.by_word.__getitem__, self.words.findall(text)))
