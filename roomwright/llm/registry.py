@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
@@ -12,6 +12,8 @@ from .common import read_table
 from .exact_dedup import exact_dedup
 from .language_id import fit_profiles, predict_language
 from .packing import pack
+from .quality import fit_quality, score_quality
+from .secret_scan import BASE, fit_ratios, labelled_samples, secret_spans, span_text
 from .simhash import simhash_classes
 
 
@@ -22,7 +24,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(expand_conversations(turns.unionByName(extra)))
 
 
-def is_held_out(id_col: str = "doc_id"):
+def is_held_out(id_col: str = "doc_id") -> Column:
     """Documents that no model may learn a language from."""
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
@@ -52,6 +54,35 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and those that the Markov models add, in all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["rank"] < len(BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    found = secret_spans(docs, fit_ratios(labelled_samples(docs)))
+    return found.select("doc_id", *[count(kind) for kind, *_ in BASE], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(spans).alias("spans"))
+
+
+#: Grades of the ratings: 0 toxic, 1 poor, 2 good.
+GRADES = 3
+
+
+def grades_of(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, probability of a good document, and selection, for all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit_quality(docs, grades_of(read_table(spark, sf_dir, "labels")), GRADES)
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", "expected_grade", F.get("tail", F.lit(1)).alias("p_good"), (F.get("tail", F.lit(1)) >= 0.5).alias("kept"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens, neighbours on the curve together."""
     pieces = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, end_id=2)
@@ -70,6 +101,8 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL = {
