@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .chat import conversation_digests, expand_conversations
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .language_id import fit_profiles, predict_language
 from .packing import pack
 from .quality import fit_quality, score_quality
@@ -42,6 +43,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(read_table(spark, sf_dir, "pages"), carry=("url",))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded, and decoded again from its ids."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,6 +105,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_html_text": op5_html_text,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
