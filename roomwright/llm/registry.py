@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .bpe import bpe_encode
 from .chat import conversation_digests, expand_conversations
 from .common import read_table
@@ -18,6 +19,11 @@ from .secret_scan import BASE, fit_ratios, labelled_samples, secret_spans, span_
 from .simhash import simhash_classes
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts imitate control strings, read back from the formatted examples."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -102,6 +108,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 QUERIES = {
+    "op1_ann_search": op1_ann_search,
     "op2_chat_format": op2_chat_format,
     "op3_language_id": op3_language_id,
     "op4_simhash_dedup": op4_simhash_dedup,
