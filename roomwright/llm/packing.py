@@ -6,9 +6,8 @@ order of that place (ties by id) by a range partitioning of ids and counts only;
 position in the one long stream of tokens, which is cut every `length` tokens. So neighbours on the curve share
 sequences, only the very last sequence is short, and no step needs more than one document's ids at a time.
 
-Texts are split at white space and the distinct stretches are encoded by the tokenizers library: the vocabulary's
-pretokenizer drops white space and never matches across it, so a text's ids are those of its stretches in order. Texts
-with the separators U+001C to U+001F, which only Python takes for white space, are encoded whole.
+Texts are split at ASCII white space and the distinct stretches are encoded by the tokenizers library: the vocabulary's
+pretokenizer drops white space and never matches across it, so a text's ids are those of its stretches in order.
 
 Defined results: a null text is empty and has the end id only; a text of any length is cut into as many pieces as it
 needs; repeated rows are packed as often as they occur; null ids come first among ties; an empty table gives no pieces;
@@ -22,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import materialize, text_batches
 
 BUCKETS, AXES, BITS, SEED = 512, 4, 15, 77
@@ -70,7 +71,12 @@ def curve_places(counts: np.ndarray) -> np.ndarray:
 
 
 class StretchTokenizer:
-    """Ids of texts by the tokenizers library, with the ids of recent stretches kept."""
+    """Ids of texts by the tokenizers library, with the ids of recent stretches and words kept.
+
+    Most stretches are letters and then perhaps marks. The vocabulary's pretokenizer cuts such a stretch between the two and
+    lower-cases it, so its ids are those of the lower-case letters and of the marks, each by the library's merging model;
+    any other stretch goes through the whole library.
+    """
 
     def __init__(self, path: str):
         import os
@@ -83,23 +89,55 @@ class StretchTokenizer:
         self.own.no_padding()
         self.size = self.own.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.model = self.own.model.tokenize
+        self.bytes = {b: c for c, b in byte_letters().items()}
         self.seen: dict[str, bytes] = {}
-        self.odd = re.compile("[\x1c-\x1f]")
+        self.words: dict[str, bytes] = {}
+        self.simple = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)\Z")
         self.bucket = ((np.arange(self.size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % BUCKETS
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd.search(t) else t.split() for t in texts]
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and the number of each text's ids.
+
+        Arrow cuts the texts at ASCII white space, where the pretokenizer cuts too, and numbers the distinct stretches.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        packed = self._packed(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
+        ids, begins = np.frombuffer(b"".join(packed), self.kind), np.cumsum(sizes) - sizes
+        taken = sizes[which]
+        ends = np.cumsum(taken)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[which] - (ends - taken), taken)
+        text_ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        stops = np.concatenate([[0], ends])[text_ends]
+        return ids[at], np.diff(stops, prepend=0)
+
+    def _packed(self, stretches: list[str]) -> list[bytes]:
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
-        new = list(set().union(*[s for s in split if s]) - self.seen.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.seen.update(zip(part, self._ids(part)))
-        get = self.seen.__getitem__
-        return [self._ids([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        seen, match, word, other = self.seen, self.simple.match, self._word, []
+        for x in stretches:
+            if x not in seen:
+                if m := match(x):
+                    seen[x] = word(m[1].lower()) + word(m[2]) if m[2] else word(m[1].lower())
+                else:
+                    other.append(x)
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            found = self.own.encode_batch_fast(part, add_special_tokens=False)
+            seen.update(zip(part, (np.array(e.ids, self.kind).tobytes() for e in found)))
+        return list(map(seen.__getitem__, stretches))
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            raw = word if word.isascii() else "".join(map(self.bytes.__getitem__, word.encode()))
+            ids = self.words[word] = np.array([t.id for t in self.model(raw)], self.kind).tobytes()
+        return ids
 
 
 _tokenizers: dict[str, StretchTokenizer] = {}
@@ -119,11 +157,14 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(vocabulary)
-        end = np.array([end_id], own.kind).tobytes()
         for batch in text_batches(batches):
-            ids = [x + end for x in own.packed(batch.column("text").to_pylist())]
-            counts = np.stack([np.bincount(own.bucket[np.frombuffer(x, own.kind)], minlength=BUCKETS) for x in ids])
-            columns = [batch.column("row"), batch.column("id"), pa.array(curve_places(counts)), pa.array([len(x) // own.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            ids, sizes = own.flat(batch.column("text"))
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+            text = np.repeat(np.arange(batch.num_rows), sizes)
+            counts = np.bincount(text * BUCKETS + own.bucket[ids], minlength=batch.num_rows * BUCKETS).reshape(-1, BUCKETS)
+            stops = np.concatenate([[0], np.cumsum(sizes)]) * own.kind.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(ids.astype(own.kind))])
+            columns = [batch.column("row"), batch.column("id"), pa.array(curve_places(counts)), pa.array(sizes, pa.int64()), packed]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "place", "n", "ids"])
 
     return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, place long, n long, ids binary")

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from roomwright.llm import packing
@@ -22,7 +23,8 @@ def test_stretches_equal_whole_texts():
     letters = list("abC dDé \n\t'sT129.,;Σσ日🙂 ́\x1c\x85İ") + ["<|endoftext|>", "the ", "<|ENDOFTEXT|>"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(1500)] + ["", " ", "x" * 3000]
     own = packing.StretchTokenizer(PATH)
-    assert [np.frombuffer(p, own.kind).tolist() for p in own.packed(texts)] == library_ids(texts)
+    ids, sizes = own.flat(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library_ids(texts)
 
 
 def test_hilbert_key_visits_every_cell_by_unit_steps():
