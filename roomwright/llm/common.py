@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python operator turns into one output batch at most (a single longer text stays whole).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
         step = max(1, int(size * BATCH_BYTES / max(BATCH_BYTES, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        pa.default_memory_pool().release_unused()
 
 
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from .bpe import byte_letters
 from .common import materialize, text_batches
 
 BUCKETS, AXES, BITS, SEED = 512, 4, 15, 77
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
