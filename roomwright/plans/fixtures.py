@@ -31,6 +31,7 @@ x0+w/2 x,h/2 y FROM c WHERE l_partkey%6<5""",
 WHEN 5 THEN 'WASHBASIN' WHEN 6 THEN 'WARDROBE' ELSE 'TREE' END name,x0+0.5E0 x,0.5E0 y FROM c""",
     "raster": """SELECT drawing_id,room_no raster_no,x0+(room_no%4)*0.5E0 x0,x0+w+(room_no%4)*0.5E0 x1,0.0E0 y0,h y1 FROM c WHERE room_no%5<>0 UNION ALL
 SELECT drawing_id,1000 raster_no,0.0E0 x0,2.0E0 x1,h+2.0E0 y0,h+5.0E0 y1 FROM ext""",
+    "strip": "SELECT drawing_id,room_no,l_partkey,l_suppkey FROM c",
     "feature": """SELECT CAST(l_orderkey AS BIGINT) drawing_id,l_partkey,l_suppkey,l_linenumber,l_quantity*12.0E0 area_sqft,1.0E0+(l_partkey%40)/10.0E0 aspect,(l_suppkey%100)/100.0E0 compactness,
 CAST(l_quantity AS BIGINT)%4 door_count FROM lineitem""",
     "layer": """SELECT CAST(l_suppkey AS BIGINT) drawing_id,CASE WHEN l_suppkey%2=0 THEN l_partkey%7 ELSE l_partkey%9 END seq,
