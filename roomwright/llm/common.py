@@ -42,11 +42,11 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about BATCH_BYTES of text, so that a batch of very long texts is not held decoded as a whole."""
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes of text, so that a batch of very long texts is not held decoded as a whole."""
     for batch in batches:
-        size = max(1, batch.num_rows)
-        step = max(1, int(size * BATCH_BYTES / max(BATCH_BYTES, batch.column(column).nbytes)))
+        rows = max(1, batch.num_rows)
+        step = max(1, int(rows * size / max(size, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
         pa.default_memory_pool().release_unused()

@@ -17,6 +17,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,9 @@ from .bpe import byte_letters
 from .common import materialize, text_batches
 
 BUCKETS, AXES, BITS, SEED = 512, 4, 15, 77
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
+#: Bytes of text that are split together: more than elsewhere, as each batch looks its distinct stretches up once.
+SPLIT_BYTES = 8 << 20
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -89,6 +92,7 @@ class StretchTokenizer:
         self.own.no_padding()
         self.size = self.own.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.model = self.own.model.tokenize
         self.bytes = {b: c for c, b in byte_letters().items()}
         self.seen: dict[str, bytes] = {}
@@ -136,7 +140,7 @@ class StretchTokenizer:
         ids = self.words.get(word)
         if ids is None:
             raw = word if word.isascii() else "".join(map(self.bytes.__getitem__, word.encode()))
-            ids = self.words[word] = np.array([t.id for t in self.model(raw)], self.kind).tobytes()
+            ids = self.words[word] = array(self.code, [t.id for t in self.model(raw)]).tobytes()
         return ids
 
 
@@ -157,7 +161,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(vocabulary)
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, size=SPLIT_BYTES):
             ids, sizes = own.flat(batch.column("text"))
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             text = np.repeat(np.arange(batch.num_rows), sizes)
