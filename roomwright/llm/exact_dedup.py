@@ -35,12 +35,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "_id", "_text", F.sha2("_text", 256).alias("_sha"), hash_of(F.col("_text")).alias("_h")
     )
     leads = rows.groupBy("_h").agg(best("_id").alias("_lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    lead_text = (
-        rows.join(leads, ["_h"])
-        .where(F.col("_id").eqNullSafe(F.col("_lead")))
-        .groupBy("_h")
-        .agg(F.min("_text").alias("_lead_text"))
-    )
+    #: The id belongs to the join's key, so that a hot group's rows spread over all tasks.
+    a, b = rows.alias("a"), leads.alias("b")
+    lead_rows = a.join(b, (F.col("a._h") == F.col("b._h")) & F.col("a._id").eqNullSafe(F.col("b._lead"))).select("a._h", "a._text")
+    #: Written, so that the next join's sides are plain exchanges, whose hot groups adaptive execution splits.
+    lead_text = materialize(lead_rows.groupBy("_h").agg(F.min("_text").alias("_lead_text")), "exact-dedup-leads")
     other = F.when(F.col("_lead_text") != F.col("_text"), F.col("_text"))
     compared = materialize(
         rows.join(lead_text, "_h", "left").select("_id", "_h", "_sha", other.alias("_other")), "exact-dedup"
