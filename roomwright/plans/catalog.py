@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import answers, drawing, scoring, shapes, text, units
 from ..operators import adjacency, blocks, classify, doors, enrich, layers, matching, merge, noding, rooms, texts
+from ..operators.tables import written
 from . import sqltext as S
 from .fixtures import CTES, Drawings
 
@@ -516,11 +517,11 @@ def raster_boost(d: Drawings) -> DataFrame:
 def strip_rooms(d: Drawings) -> DataFrame:
     """The strips' rooms with everything that classification takes."""
     table = rooms.sized(rooms.with_shape(room_table(d)))
-    table = texts.named(table, texts.assign_texts(table, d.text))
+    table = written(texts.named(table, texts.assign_texts(table, d.text)), "strip-named")
     placed = blocks.blocks_in_rooms(d.block, table)
     for more in (blocks.furniture(placed), blocks.block_votes(placed)):
         table = table.join(more, ["drawing_id", "room_no"], "left")
-    return table
+    return written(table, "strip-rooms")
 
 
 _classified = _assign + _placed + f""",
@@ -816,3 +817,6 @@ def largest_drawings(d: Drawings) -> DataFrame:
 def room_name_summary(d: Drawings) -> DataFrame:
     named = F.array_sort(F.collect_list(F.struct("room_no", "name")))
     return room_table(d).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("rooms"), F.slice(F.transform(named, lambda r: r["name"]), 1, 8).alias("first_names"))
+
+
+from . import whole  # noqa: E402, F401  registers the queries of whole engines, sources and sinks
