@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import shapes
 from . import kernel
 from .drawings import fold, map_rows
+from .noding import node_edges
+from .tables import written
 
+#: Segments of a drawing that one fold cuts at each other; the pairs to compare grow with the square.
+SMALL = 2_000
 FACE = f"ring {shapes.RING}, area_raw double"
 
 
@@ -33,6 +37,25 @@ def faces(edges: DataFrame) -> DataFrame:
     return fold(("edges", edges.select("drawing_id", "ax", "ay", "bx", "by")), {}, trace, FACE)
 
 
+def noded_faces(segments: DataFrame, small: int = SMALL) -> DataFrame:
+    """drawing_id, ring, area_raw of the faces of segments (sx, sy, ex, ey) that are cut wherever they meet.
+
+    Drawings of up to `small` segments are cut and traced in one fold; of larger ones the segments are cut by the grid join,
+    which spreads a giant drawing over many tasks, and only the tracing is a fold.
+    """
+
+    def trace(drawing: dict):
+        edges = kernel.node([(s["sx"], s["sy"], s["ex"], s["ey"]) for s in drawing["segments"]])
+        for ring, area in kernel.faces(edges):
+            yield _as_ring(ring), area
+
+    lines = written(segments.select("drawing_id", "sx", "sy", "ex", "ey").distinct(), "lines")
+    sizes = lines.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > small).select("drawing_id")
+    inner = fold(("segments", lines.join(large, "drawing_id", "left_anti")), {}, trace, FACE)
+    return inner.unionByName(faces(node_edges(lines.join(large, "drawing_id", "left_semi"))))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """drawing_id, ring, area_raw of a cycle basis of uncut edges: which basis is not fixed, only its size."""
 

@@ -209,7 +209,7 @@ def graph_edges(d: Drawings) -> DataFrame:
 
 
 def strip_faces(d: Drawings) -> DataFrame:
-    return rooms.faces(noding.node_edges(noding.with_bridges(wall_lines(d))))
+    return rooms.noded_faces(noding.with_bridges(wall_lines(d)))
 
 
 @query("polygonize_rooms", "SELECT drawing_id,x0,y0,x1,y1,area_raw FROM fp_cell")
@@ -217,6 +217,12 @@ def polygonize_rooms(d: Drawings) -> DataFrame:
     return box(strip_faces(d))
 
 
+@query("polygonize_by_grid", "SELECT drawing_id,x0,y0,x1,y1,area_raw FROM fp_cell")
+def polygonize_by_grid(d: Drawings) -> DataFrame:
+    """The same faces, with every drawing cut by the grid join that giant drawings take."""
+    return box(rooms.noded_faces(noding.with_bridges(wall_lines(d)), small=0))
+
+
 _kept = "(k=1 AND coalesce(area_raw>nxt*{},FALSE))"
 _by_area = ",\nbyarea AS (SELECT *,row_number() OVER w AS k,lead(area_raw) OVER w AS nxt FROM fp_cell WINDOW w AS (PARTITION BY drawing_id ORDER BY area_raw DESC,x0 DESC))"
 

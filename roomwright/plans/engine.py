@@ -45,7 +45,7 @@ def vector_rooms(d: Drawing, least_sqft: float = 8.0) -> DataFrame:
     """Rooms of the wall graph: gaps bridged, walls noded, faces filtered, numbered by area, with area_sqft, centre and shape."""
     walls = layers.wall_layers(layers.layer_counts(d.segments))
     lines = layers.at_least(layers.wall_segments(d.segments, walls), 1e-6, strict=True)
-    found = written(rooms.faces(noding.node_edges(noding.with_bridges(lines, metres=d.metres))), "faces")
+    found = written(rooms.noded_faces(noding.with_bridges(lines, metres=d.metres)), "faces")
     found = rooms.with_cycle_fallback(found, noding.graph_edges(lines, 4))
     found = written(rooms.numbered(rooms.without_outer(rooms.large_enough(found, least_sqft, d.sqft))), "candidates")
     found = rooms.with_shape(rooms.sized(rooms.without_nested(found), d.sqft))
