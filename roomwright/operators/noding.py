@@ -18,23 +18,26 @@ def endpoints(segments: DataFrame, digits: int = 6) -> DataFrame:
 def gap_bridges(segments: DataFrame, least_m: float = 0.7, most_m: float = 1.1, metres: Column | float = 1.0, skip_existing: bool = False) -> DataFrame:
     """A segment between any two end points of a drawing whose distance is that of a door opening.
 
-    Points are dealt to square cells as wide as the widest gap, and each meets those of its own and the eight neighbouring
-    cells, so the join is an equi-join. metres: metres per unit, a number or a column of segments.
+    Points are dealt to square cells as wide as the widest gap; each meets those of its own cell and of the four cells ahead, so
+    every pair meets once, by an equi-join. metres: metres per unit, a number or a column of segments.
     skip_existing leaves out pairs that a segment joins already.
     """
-    scale = F.lit(metres) if isinstance(metres, (int, float)) else metres
-    factor = segments.groupBy("drawing_id").agg(F.greatest(F.max(scale), F.lit(1e-12)).alias("_m"))
-    points = endpoints(segments).join(factor, "drawing_id").withColumn("_far", F.lit(most_m) / F.col("_m"))
-    cell = [F.floor(F.col(c) / F.col("_far")).alias(f"_c{c}") for c in ("x", "y")]
-    points = points.select("*", *cell)
-    around = F.array(*[F.struct((F.col("_cx") + i).alias("x"), (F.col("_cy") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = points.select("drawing_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "_m", "_far", F.explode(around).alias("c")).select("*", F.col("c.x").alias("_cx"), F.col("c.y").alias("_cy")).drop("c")
-    right = points.select("drawing_id", F.col("x").alias("ex"), F.col("y").alias("ey"), "_cx", "_cy")
-    gap = F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))
-    found = left.join(right, ["drawing_id", "_cx", "_cy"]).where(
-        (F.struct("sx", "sy") < F.struct(F.col("ex"), F.col("ey"))) & (gap >= F.lit(least_m) / F.col("_m")) & (gap <= F.col("_far")) & (gap > 0.01)
-    )
-    found = found.select("drawing_id", "sx", "sy", "ex", "ey")
+    points = endpoints(segments)
+    if isinstance(metres, (int, float)):
+        points = points.withColumn("_m", F.lit(max(float(metres), 1e-12)))
+    else:
+        points = points.join(segments.groupBy("drawing_id").agg(F.greatest(F.max(metres), F.lit(1e-12)).alias("_m")), "drawing_id")
+    points = points.withColumn("_far", F.lit(most_m) / F.col("_m"))
+    points = points.select("*", *[F.floor(F.col(c) / F.col("_far")).alias(f"_c{c}") for c in ("x", "y")])
+    ahead = F.array(*[F.struct((F.col("_cx") + i).alias("x"), (F.col("_cy") + j).alias("y")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    left = points.select("drawing_id", F.struct("x", "y").alias("a"), "_m", "_far", F.struct("_cx", "_cy").alias("own"), F.explode(ahead).alias("c"))
+    left = left.select("drawing_id", "a", "_m", "_far", (F.struct("c.x", "c.y") == F.struct(F.col("own._cx"), F.col("own._cy"))).alias("_same"), F.col("c.x").alias("_cx"), F.col("c.y").alias("_cy"))
+    right = points.select("drawing_id", F.struct("x", "y").alias("b"), "_cx", "_cy")
+    gap = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
+    wide = (gap >= F.lit(least_m) / F.col("_m")) & (gap <= F.col("_far")) & (gap > 0.01)
+    found = left.join(right, ["drawing_id", "_cx", "_cy"]).where((~F.col("_same") | (F.col("a") < F.col("b"))) & wide)
+    found = found.select("drawing_id", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    found = found.select("drawing_id", F.col("p.x").alias("sx"), F.col("p.y").alias("sy"), F.col("q.x").alias("ex"), F.col("q.y").alias("ey"))
     if skip_existing:
         a, b = F.struct(F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct(F.col("ex").alias("x"), F.col("ey").alias("y"))
         known = segments.select("drawing_id", F.least(a, b).alias("_a"), F.greatest(a, b).alias("_b")).distinct()
