@@ -5,8 +5,8 @@ P(grade >= k) = 1 / (1 + exp(tk - score)), where score is the sum of the weights
 are shared by all thresholds, so the model orders texts on one scale; it gives the expected grade and the probability of
 reaching a grade.
 
-Features of a white-space-separated stretch: its letters and digits in lower case, the marks around them, and whether it
-repeats its predecessor. All stretches of a text count, once per distinct feature. Fitting takes a bounded sample of
+Features of a white-space-separated stretch: its letters and digits in lower case, their first 5 and 7, the marks around
+them, and whether it repeats its predecessor. All stretches of a text count, once per distinct feature. Fitting takes a bounded sample of
 labelled rows (`SAMPLE_ROWS`, chosen by a hash of the id); only hashed features go to the driver. An L1 penalty leaves
 weights on few features, so that long texts do not gather noise.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import text_batches
 
 BUCKETS = 1 << 18
-SAMPLE_ROWS = 4_000
-L1, ROUNDS, LEAST_TEXTS = 0.001, 300, 3
+SAMPLE_ROWS = 8_000
+L1, ROUNDS, LEAST_TEXTS = 0.0005, 200, 3
+#: Lengths of the beginnings that stand for a word's stem.
+STEMS = (5, 7)
 CACHE_WORDS = 300_000
 _CORE = re.compile(r"\w+(?:[^\w\s]+\w+)*")
 
@@ -45,8 +47,9 @@ def stretch_features(stretch: str) -> tuple[int, ...]:
     core = _CORE.search(stretch)
     if not core:
         return (_bucket("marks " + stretch[:8]),)
-    marks = (stretch[: core.start()], stretch[core.end() :])
-    return (_bucket("word " + core[0].lower()), *(_bucket(f"mark {k} {m[:8]}") for k, m in enumerate(marks) if m))
+    marks, word = (stretch[: core.start()], stretch[core.end() :]), core[0].lower()
+    stems = (_bucket(f"stem {word[:k]}") for k in STEMS if len(word) > k)
+    return (_bucket("word " + word), *stems, *(_bucket(f"mark {k} {m[:8]}") for k, m in enumerate(marks) if m))
 
 
 REPEATED = _bucket("repeated")
@@ -85,17 +88,17 @@ class OrdinalModel:
         return [1 / (1 + float(np.exp(np.clip(t - score, -50, 50)))) for t in self.thresholds]
 
 
-def fit_ordinal(rows: list[tuple[set[int], int]], grades: int) -> OrdinalModel:
-    """Proximal gradient steps with momentum on the cumulative-link likelihood."""
+def fit_ordinal(rows: Iterable[tuple[Iterable[int], int]], grades: int) -> OrdinalModel:
+    """Proximal gradient steps with momentum on the cumulative-link likelihood, the same in whatever order the rows come."""
+    rows = sorted(((np.unique(np.fromiter(fs, np.int32)), g) for fs, g in rows), key=lambda r: (r[1], r[0].tobytes()))
     if not rows:
         return OrdinalModel({}, (0.0,) * (grades - 1))
-    rows = sorted(rows, key=lambda r: (r[1], sorted(r[0])))
-    texts = np.bincount(np.fromiter((f for fs, _ in rows for f in fs), np.int64), minlength=BUCKETS)
+    texts = np.bincount(np.concatenate([fs for fs, _ in rows]), minlength=BUCKETS)
     column = np.full(BUCKETS, -1)
     used = np.flatnonzero(texts >= min(LEAST_TEXTS, len(rows)))
     column[used] = np.arange(len(used))
-    index = [np.array(sorted(column[f] for f in fs if column[f] >= 0), np.int64) for fs, _ in rows]
-    flat, sizes = np.concatenate(index) if index else np.zeros(0, np.int64), np.array([len(i) for i in index])
+    index = [found[found >= 0] for found in (column[fs] for fs, _ in rows)]
+    flat, sizes = np.concatenate(index), np.array([len(i) for i in index])
     owner = np.repeat(np.arange(len(rows)), sizes)
     grade = np.array([g for _, g in rows])
     n, k = len(rows), np.arange(1, grades)
@@ -145,7 +148,7 @@ def fit_quality(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("grade")], ["features", "grade"])
 
     got = rows.mapInArrow(run, "features binary, grade int").collect()
-    return fit_ordinal([(set(np.frombuffer(bytes(r.features), "<i4").tolist()), r.grade) for r in got], grades)
+    return fit_ordinal([(np.frombuffer(bytes(r.features), "<i4"), r.grade) for r in got], grades)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

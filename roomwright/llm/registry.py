@@ -79,8 +79,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(kind) for kind, *_ in BASE], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(spans).alias("spans"))
 
 
-#: Grades of the ratings: 0 toxic, 1 poor, 2 good.
-GRADES = 3
+#: Grades of the ratings: 0 toxic, 1 poor, 2 good; and the probability of a good document from which one is kept.
+GRADES, LEAST_GOOD = 3, 0.4
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_quality(docs, grades_of(read_table(spark, sf_dir, "labels")), GRADES)
     scored = score_quality(docs, model)
-    return scored.select("doc_id", "expected_grade", F.get("tail", F.lit(1)).alias("p_good"), (F.get("tail", F.lit(1)) >= 0.5).alias("kept"))
+    return scored.select("doc_id", "expected_grade", F.get("tail", F.lit(1)).alias("p_good"), (F.get("tail", F.lit(1)) >= LEAST_GOOD).alias("kept"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
