@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
 from .bpe import bpe_encode
-from .chat import conversation_digests, expand_conversations
+from .chat import CONTROL, END, ROLE, TEXT, conversation_digests, expand_conversations
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
@@ -101,6 +101,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+OP2_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(ROLE + TEXT + END)} + length({_escaped_sql("role")}) + length({_escaped_sql("text")})) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (WHERE role = 'assistant') + CASE WHEN arg_max(role, turn) = 'assistant' THEN 0 ELSE 1 END AS n_examples
+FROM t GROUP BY conv_id
+"""
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -120,5 +138,6 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 ORACLE_SQL = {
+    "op2_chat_format": OP2_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
