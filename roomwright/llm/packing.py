@@ -118,6 +118,9 @@ class StretchTokenizer:
         stops = np.concatenate([[0], ends])[text_ends]
         return ids[at], np.diff(stops, prepend=0)
 
+    def forget(self) -> None:
+        self.seen, self.words = {}, {}
+
     def _packed(self, stretches: list[str]) -> list[bytes]:
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
@@ -170,6 +173,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_
             packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(ids.astype(own.kind))])
             columns = [batch.column("row"), batch.column("id"), pa.array(curve_places(counts)), pa.array(sizes, pa.int64()), packed]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "place", "n", "ids"])
+        own.forget()  # a worker that waits for the next task, perhaps of another stage, holds no tables
 
     return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, place long, n long, ids binary")
 
