@@ -8,7 +8,8 @@ footers, sidebars, notices, adverts, forms, comments, hidden parts).
 First pass: boilerplate and link-heavy blocks are bad; long blocks with enough stop words are good; long blocks with almost
 none, outside an article, are bad; the rest (short blocks and headings) is undecided. Second pass: an undecided block takes
 the label of the nearest decided block of the same region that is not boilerplate by its element, a heading that of the
-next one; if the two sides are equally near and differ, its stop words decide; without any decided neighbour it is good only inside an article. If the page has
+next one; if the two sides are equally near and differ, its stop words decide; without any decided neighbour it is good only inside an article. If the first pass
+finds nothing good, long blocks without many links are. If the page has
 an article region with text, blocks outside it are bad.
 
 Defined results: null or empty html gives an empty text; broken markup is read as browsers do in the common cases (unclosed
@@ -214,6 +215,11 @@ def classify(blocks: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> li
             good.append(False)
         else:
             good.append(None)
+    if not any(good):  # a language without stop words here: length and links must do
+        for k, b in enumerate(blocks):
+            free = not b.bad and (b.region or not use_region) and b.link_chars <= LINKS * len(b.text)
+            if free and not b.heading and len(b.text) >= LONG:
+                good[k] = True
     #: Neighbours count inside the same region; what boilerplate elements hold is no neighbour.
     before: list[tuple[int, bool] | None] = []
     last: dict[int, tuple[int, bool]] = {}

@@ -7,6 +7,7 @@ from roomwright.llm.html_text import classify, extract_text, main_text, read_blo
 from roomwright.llm.registry import QUERIES
 
 LONG = "It was the best of times and it was the worst of times, and there was a man who said that he had been to the city by the sea with all of his friends."
+FAR = "Kissa istui matolla ja katseli lintuja ikkunasta, kunnes ilta tuli ja kaikki talossa nukahtivat; silloin se nousi hitaasti ja venytteli pitkään hiljaa."
 CASES = [
     (None, ""), ("", ""), ("plain words", ""), (LONG, LONG),
     (f"<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>{LONG}<p>Short.</article><footer>Imprint</footer>", f"T & U\n\n{LONG}\n\nShort."),
@@ -19,6 +20,7 @@ CASES = [
     (f"<p>{LONG}</p><script>never closed <p>{LONG}</p>", LONG),
     (f'<p title="a > b">{LONG}</p><p hidden>{LONG}</p><p style="display:none">{LONG}</p>', LONG),
     (f"<p>{LONG}</p><p><a href=1>{LONG}</a></p><div role=contentinfo>{LONG}</div>", LONG),
+    (f"<div class=menu>Menu</div><h2>Otsikko</h2><p>{FAR}</p><p>Loppu.</p>", f"Otsikko\n\n{FAR}\n\nLoppu."),
     ("<table><tr><td>" + LONG + "<td>x<tr><td>y</table>", f"{LONG}\n\nx\n\ny"),
     (f"<p>1 &lt; 2 &#233; &#x1F642; &unknown; {LONG}</p>", f"1 < 2 é \U0001f642 &unknown; {LONG}"),
 ]
