@@ -6,8 +6,9 @@ A fingerprint bit is 1 if more than half of the text's word shingles have it set
 Candidates: the 64 bits are cut into radius + 1 bands, and two fingerprints within the radius agree in one band at least.
 Each distinct fingerprint is dealt to its bands' buckets. Inside a bucket fingerprints lie in blocks of 64, stored
 vertically: one machine word per bit position. A fingerprint is compared with a whole block at once, bit plane by bit
-plane; the 64 distances are kept in carry-save counters (two words for 0 to 3, one for overflow), two planes per full
-adder, and a block is abandoned as soon as every lane has overflown. The links of a task are contracted to a spanning
+plane; the 64 distances are kept in carry-save counters (two words for radii of 0 to 3, three up to 7, and so on, one for
+overflow), two planes per full adder, and a block is abandoned as soon as every lane has overflown. More bands are narrower:
+from a radius of about 7 on, buckets hold so many fingerprints that the work nears that of comparing all pairs. The links of a task are contracted to a spanning
 forest before they leave it, so no group emits its pairs.
 
 Buckets over `CHUNK` fingerprints are cut into chunks, and every pair of chunks is a task of its own, so no bucket is
@@ -32,6 +33,8 @@ from .common import map_texts, materialize
 from .components import connected_components
 
 CHUNK = 32_768
+#: Bands are two bits wide then.
+MOST_RADIUS = 31
 #: Rows of buckets that are compared in one go, and (fingerprint, block) comparisons in one go.
 ROWS_AT_ONCE, TASKS_AT_ONCE = 400_000, 1 << 16
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -87,28 +90,32 @@ def bit_planes(prints: np.ndarray) -> np.ndarray:
 
 def near_lanes(prints: np.ndarray, planes: np.ndarray, row: np.ndarray, block: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For comparisons of fingerprint row[t] with block[t], restricted to the lanes in lanes[t]: which comparisons have a lane
-    within the radius (0 to 3), and those lanes' bits."""
+    within the radius (0 to MOST_RADIUS), and those lanes' bits."""
     own = np.arange(len(row))
-    c0 = np.zeros(len(row), np.uint64)
-    c1, over = c0.copy(), ~lanes
+    digits = [np.zeros(len(row), np.uint64) for _ in range(max(2, radius.bit_length()))]
+    over = ~lanes
     wanted = prints[row]
     for k in range(0, 64, 2):
         x = planes[block, k] ^ ((wanted >> np.uint64(k)) & np.uint64(1)) * ONES
         y = planes[block, k + 1] ^ ((wanted >> np.uint64(k + 1)) & np.uint64(1)) * ONES
         half = x ^ y
-        carry = (x & y) | (c0 & half)
-        c0 ^= half
-        over |= c1 & carry
-        c1 ^= carry
+        carry = (x & y) | (digits[0] & half)
+        digits[0] ^= half
+        for c in digits[1:]:
+            more = c & carry
+            c ^= carry
+            carry = more
+        over |= carry
         if k % 8 == 6:
             alive = over != ONES
             if not alive.all():
-                own, row, block, wanted, c0, c1, over = (z[alive] for z in (own, row, block, wanted, c0, c1, over))
+                own, row, block, wanted, over, *digits = (z[alive] for z in (own, row, block, wanted, over, *digits))
                 if not len(own):
                     break
-    near = ~over
-    if radius < 3:
-        near &= {2: ~(c0 & c1), 1: ~c1, 0: ~(c0 | c1)}[radius]
+    near = np.full(len(over), ONES)
+    for k, c in enumerate(digits):
+        near = near | ~c if radius >> k & 1 else near & ~c
+    near &= ~over
     some = near != 0
     return own[some], near[some]
 
@@ -183,8 +190,8 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
 def near_links(nodes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
     """nodes (fp, node), fp distinct -> edges (a, b) between nodes; they connect exactly the nodes that links connect."""
-    if not 0 <= radius <= 3:
-        raise ValueError("the carry-save counters hold radii of 0 to 3")
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"radii are 0 to {MOST_RADIUS}")
     bands = radius + 1
     edges = [64 * k // bands for k in range(bands + 1)]
     keys = F.array(*[F.shiftrightunsigned(F.shiftleft(F.col("fp"), 64 - hi), 64 - hi + lo) * bands + k for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]) if bands > 1 else F.array(F.lit(0).cast("long"))

@@ -68,6 +68,24 @@ def test_forest_is_brute_force(radius):
     assert label.tolist() == want
 
 
+@pytest.mark.parametrize("radius", [4, 7, 11, 15, 31])
+def test_wide_radii_link_all_near_pairs(spark, radius):
+    rng = random.Random(radius)
+    prints = [rng.getrandbits(64) for _ in range(150)]
+    for x in prints[:150]:
+        for bit in rng.sample(range(64), rng.choice([radius, radius + 1])):
+            x ^= 1 << bit
+        prints.append(x)
+    arr = np.array(prints, np.uint64)
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(prints)], "fp long, node long")
+    found = {r.node: r.component for r in connected_components(simhash.near_links(nodes, radius=radius)).collect()}
+    label = np.arange(len(arr))
+    near = np.bitwise_count(arr[:, None] ^ arr[None, :]) <= radius
+    while not np.array_equal(least := np.where(near, label[None, :], len(arr)).min(axis=1), label):
+        label = least
+    assert [found.get(k, k) for k in range(len(prints))] == label.tolist()
+
+
 @pytest.mark.parametrize("chunk", [40, simhash.CHUNK])
 def test_links_connect_what_brute_force_connects(spark, chunk):
     rng = random.Random(11)
