@@ -7,7 +7,7 @@ the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomwright.llm.common import materialize, read_table
@@ -22,11 +22,16 @@ from roomwright.llm.simhash import simhash_classes
 LEAST_COSINE = 0.1
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null too) occurs in ids; one row per doc_id."""
-    a, b = docs.alias("a"), ids.select("doc_id").alias("b")
-    found = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi")
-    return found.dropDuplicates(["doc_id"]).select(*docs.columns)
+def text_key() -> Column:
+    """What tells rows of one doc_id (null too) apart: the digest of the text, a null text being empty."""
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+
+
+def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id (null too) and text_key, as _key, occur together in keys; one row for each such pair."""
+    a, b = docs.withColumn("_key", text_key()).alias("a"), keys.select("doc_id", "_key").alias("b")
+    found = a.join(b, (F.col("a._key") == F.col("b._key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi")
+    return found.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +47,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
-    return only(docs, exact_dedup(docs, keep="max").where("kept"))
+    return only(docs, exact_dedup(docs, keep="max").where("kept").withColumnRenamed("text_sha256", "_key"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays."""
-    return only(docs, simhash_classes(docs, width=3, radius=3).where("doc_id <=> component_id"))
+    """Of each class of near copies the document with the smallest doc_id stays; of several such texts, that of the smallest key."""
+    leading = simhash_classes(docs, width=3, radius=3, key=text_key()).where("doc_id <=> component_id")
+    first = leading.groupBy("class_fp").agg(F.first("doc_id").alias("doc_id"), F.min("key").alias("_key"))
+    return only(docs, first)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

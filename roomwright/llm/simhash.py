@@ -14,9 +14,9 @@ forest before they leave it, so no group emits its pairs.
 Buckets over `CHUNK` fingerprints are cut into chunks, and every pair of chunks is a task of its own, so no bucket is
 gathered whole and none is capped.
 
-Defined results: a null text is empty; texts without a word have fingerprint 0 and are linked like others; repeated ids
-are repeated rows with equal results; null ids are classed like others (a class with null ids only has a null id); empty
-tables give empty results; extra columns are ignored.
+Defined results: a null text is empty; texts without a word have fingerprint 0 and are linked like others; classes are
+made of fingerprints, so a repeated id belongs to the class of each of its texts, and null ids are classed like others (a
+class with null ids only has a null id); empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialize
@@ -68,15 +68,18 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, key: Column | None = None) -> DataFrame:
+    """(id, fp): fp is the fingerprint's 64 bits as a signed long. key: a string of the row that comes along as column key."""
+    more = [] if key is None else [key.cast("string").alias("key")]
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *more)
+
+    names = ["key"] * len(more)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t, width, seed) for t in batch.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found.view(np.int64))], ["_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found.view(np.int64)), *map(batch.column, names)], ["_id", "fp", *names])
 
-    return map_texts(rows, work, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
+    return map_texts(rows, work, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long" + ", key string" * len(more)).withColumnRenamed("_id", id_col)
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
@@ -208,10 +211,16 @@ def near_links(nodes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFra
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
 
 
-def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """One row per input row: id, fp (64 bits as a signed long), component_id (smallest id of its class). Ids are integers."""
-    prints = materialize(fingerprints(docs, id_col, text_col, width, seed).select(F.col(f"`{id_col}`").cast("long").alias("_id"), "fp"), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("_id").alias("node")), "simhash-nodes")
-    classes = connected_components(near_links(nodes.where("node is not null"), radius))
-    named = nodes.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, seed: int = 42, key: Column | None = None) -> DataFrame:
+    """One row per input row: id, fp (64 bits as a signed long), component_id (smallest id of its class). Ids are integers.
+    With key, also key and class_fp (smallest fingerprint of the class), which tell rows and classes apart where ids don't."""
+    more = [] if key is None else ["key"]
+    prints = materialize(fingerprints(docs, id_col, text_col, width, seed, key).select(F.col(f"`{id_col}`").cast("long").alias("_id"), "fp", *more), "simhash")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("_id").alias("least")), "simhash-nodes")
+    classes = connected_components(near_links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    placed = nodes.join(classes, nodes.fp == classes.node, "left").select("fp", "least", "component")
+    alone = placed.where("component is null").select("fp", F.col("fp").alias("class_fp"), F.col("least").alias("component_id"))
+    linked = placed.where("component is not null")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = alone.unionByName(linked.join(least, "component").select("fp", F.col("component").alias("class_fp"), "component_id"))
+    return prints.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id", *[c for c in ("key", "class_fp") if more])

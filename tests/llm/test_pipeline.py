@@ -58,6 +58,29 @@ def test_every_stage_is_brute_force(spark, tmp_path):
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, last))
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(40)) for w in ("river", "stone", "cloud", "grass"))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, c), (9, d), (None, a), (2, a + " riverend"), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact_stage(spark, docs, SF)
+    found = lambda f: sorted(((r.doc_id, r.text) for r in f.collect()), key=str)
+    assert found(exact) == sorted([(None, a), (None, b), (7, c), (9, d), (2, a + " riverend"), (4, "")], key=str)
+    near = corpus_pipeline.near_stage(spark, docs, SF)
+    prints = {t: plain_fingerprint(t or "") for _, t in rows}
+    want, texts = [], [(i, t or "") for i, t in rows]
+    classes = plain_classes(dict(enumerate(prints[t] for _, t in rows)))
+    for k in set(classes.values()):
+        own = [texts[j] for j in classes if classes[j] == k]
+        want.append(min(own, key=lambda r: (r[0] is None, r[0])))
+    assert found(near) == sorted(want, key=str)
+
+
+def test_near_classes_that_share_an_id_stay_apart(spark):
+    a, b = (" ".join(f"{w}{k}" for k in range(40)) for w in ("river", "stone"))
+    docs = spark.createDataFrame([(7, a, "en", "s", 1), (7, b, "en", "s", 1), (3, a, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, SF).collect()) == [(3, a), (7, b)]
+
+
 def test_odd_documents(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     good = "the cat and the dog sat on the mat with a friend of theirs"
