@@ -20,6 +20,8 @@ from roomwright.llm.simhash import simhash_classes
 
 #: A text whose letters follow no learned language has a cosine near 0 with every prototype.
 LEAST_COSINE = 0.1
+#: So has a text of few letters in a learned language, so fewer letters than these are judged by no cosine.
+LEAST_LETTERS = 30
 
 
 def text_key() -> Column:
@@ -35,11 +37,13 @@ def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or in none of the learned languages go. Without labels nothing can be judged but letters."""
+    """Documents without letters or in none of the learned languages go. Without labels nothing can be judged but letters; of
+    fewer than LEAST_LETTERS letters, any language that is found counts."""
     profiles = fit_profiles(docs.where(F.coalesce(~is_held_out(), F.lit(False))))
     judged = predict_language(docs, profiles, extra=F.struct(*docs.columns))
+    short = F.regexp_count("extra.text", F.lit(r"\p{L}")) < LEAST_LETTERS
     if profiles.languages:
-        kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE))
+        kept = judged.where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_COSINE) | short))
     else:
         kept = judged.where(F.col("extra.text").rlike(r"\p{L}"))
     return kept.select("extra.*")

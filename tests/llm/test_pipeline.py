@@ -81,6 +81,35 @@ def test_near_classes_that_share_an_id_stay_apart(spark):
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, SF).collect()) == [(3, a), (7, b)]
 
 
+def test_short_texts_of_a_learned_language_stay(spark):
+    short = [(100_001, "A."), (100_002, "A.\nAll rights reserved."), (100_003, "Lllldoado."), (100_004, "Avec."), (100_005, "zq"), (100_006, "12 34!"), (100_007, "xq jzv kwq zxj qvk jqz " * 6)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in short], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.language_stage(spark, docs.unionByName(more), SF).where("doc_id > 100000")
+    assert {r.doc_id for r in left.collect()} == {100_001, 100_002, 100_003, 100_004, 100_005}
+
+
+def test_stages_that_keep_short_texts_are_brute_force(spark, tmp_path):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    profiles, letters = lid.fit_profiles(frame.where(~(F.crc32(F.col("doc_id").cast("string")) % 4 == 2))), lid.Letters()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = {r.doc_id: r.text for r in frame.collect()}
+        if name == "language_id":
+            want = {}
+            for i, t in docs.items():
+                (lang,), (score,) = profiles.classify([t], letters)
+                if lang != "und" and (score >= corpus_pipeline.LEAST_COSINE or sum(map(str.isalpha, t)) < corpus_pipeline.LEAST_LETTERS):
+                    want[i] = t
+        else:
+            want = kept_by_hand(name, docs, spark, frame)
+        stage(spark, frame, SF).write.parquet(str(tmp_path / name))
+        frame = spark.read.parquet(str(tmp_path / name))
+        rows = frame.collect()
+        assert len(rows) == len(want) and {r.doc_id: r.text for r in rows} == want, name
+    last = corpus_pipeline.STAGES[-1][1](spark, frame, SF).collect()
+    check_pieces(last, {r.doc_id: r.text for r in rows}, 4096, 2)
+
+
 def test_odd_documents(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     good = "the cat and the dog sat on the mat with a friend of theirs"
