@@ -69,10 +69,11 @@ def svg_ring(ring: Column, fill: Column, label: Column) -> Column:
 
 
 def svg_arc(cx: Column, cy: Column, radius: Column, start: Column, end: Column) -> Column:
-    """Path data of an arc; an end at or before the start lies one turn later."""
+    """Path data of an arc; an end at or before the start lies one turn later. Turns are compared in degrees, so that no half
+    circle counts as large."""
     a = F.radians(start)
-    b = F.when(F.radians(end) <= a, F.radians(end) + 2 * math.pi).otherwise(F.radians(end))
-    large = F.when(b - a > math.pi, 1).otherwise(0)
+    b = F.when(end <= start, F.radians(end) + 2 * math.pi).otherwise(F.radians(end))
+    large = F.when(F.when(end <= start, end + 360).otherwise(end) - start > 180, 1).otherwise(0)
     return F.format_string("M %.4f %.4f A %.4f %.4f 0 %d 1 %.4f %.4f", cx + radius * F.cos(a), cy + radius * F.sin(a), radius, radius, large, cx + radius * F.cos(b), cy + radius * F.sin(b))
 
 

@@ -765,8 +765,18 @@ def svg_elements(d: Drawings) -> DataFrame:
 
 @query("svg_arc_path", "SELECT drawing_id,l_partkey,l_suppkey,CASE WHEN (CASE WHEN end_deg<=start_deg THEN end_deg+360 ELSE end_deg END)-start_deg>180 THEN 1 ELSE 0 END AS large,format('{:.4f}',radius) AS radius FROM fp_arc WHERE end_deg<>start_deg+180 AND end_deg<>start_deg-180")
 def svg_arc_path(d: Drawings) -> DataFrame:
+    """Arcs other than half circles; svg_arc_path_all has those too."""
+    return _arc_paths(d.arc.where("abs(end_deg - start_deg) <> 180"))
+
+
+@query("svg_arc_path_all", "SELECT drawing_id,l_partkey,l_suppkey,CASE WHEN (CASE WHEN end_deg<=start_deg THEN end_deg+360 ELSE end_deg END)-start_deg>180 THEN 1 ELSE 0 END AS large,format('{:.4f}',radius) AS radius FROM fp_arc")
+def svg_arc_path_all(d: Drawings) -> DataFrame:
+    return _arc_paths(d.arc)
+
+
+def _arc_paths(arcs: DataFrame) -> DataFrame:
     path = drawing.svg_arc(F.lit(5.0), F.lit(7.0), *c("radius", "start_deg", "end_deg"))
-    rows = d.arc.where("abs(end_deg - start_deg) <> 180").withColumn("p", F.split(path, " "))
+    rows = arcs.withColumn("p", F.split(path, " "))
     return rows.select("drawing_id", "l_partkey", "l_suppkey", F.get("p", F.lit(7)).cast("int").alias("large"), F.get("p", F.lit(4)).alias("radius"))
 
 

@@ -179,3 +179,11 @@ def test_svg_paths_and_flips(spark):
     page = '<svg xmlns="http://www.w3.org/2000/svg"><g transform="scale(1,-1) translate(0,3)"><line x1="0" y1="1" x2="2" y2="1" data-layer="W"/><g transform="scale(1,-1)"><polygon points="0,0 1,0 x,y 1,1"/></g><line x1="2" y1="1" x2="0" y2="1"/></g><rect width="1" height="q"/></svg>'
     got = [tuple(r) for r in svg.segments(spark.createDataFrame([(1, page), (2, "<broken"), (3, None)], "drawing_id long, content string")).select("sx", "sy", "ex", "ey", "layer").orderBy("seg_no").collect()]
     assert got == [(0.0, -1.0, 2.0, -1.0, "W"), (0.0, 0.0, 1.0, 0.0, ""), (1.0, 0.0, 1.0, 1.0, ""), (1.0, 1.0, 0.0, 0.0, "")]
+
+
+def test_half_circles_are_not_large(spark):
+    rows = [(float(k), float((k + 180) % 360)) for k in range(360)] + [(0.0, 181.0), (0.0, 179.0), (200.0, 21.0), (30.0, 30.0)]
+    path = drawing.svg_arc(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("a"), F.col("b"))
+    large = [int(p.split(" ")[7]) for (p,) in values(spark, rows, "a double, b double", path)]
+    assert sum(large[:360]) == 0
+    assert large[360:] == [1, 0, 1, 1]
