@@ -1,21 +1,24 @@
 """Main text of web pages by two-pass block rules.
 
-The page is read as a stream of tags and text. Block-level tags part the text into blocks; each block knows its share of
-link text, its share of stop words, whether it lies inside an article region (article or main elements, or what takes
+The page is read as a stream of tags and text. Block-level tags part the text into blocks; each block knows its length, its
+share of link text, its share of stop words, whether it lies inside an article region (article or main elements, or what takes
 their place), and whether it lies inside an element that is boilerplate by its kind, role, class or id (menus, page headers,
 footers, sidebars, notices, adverts, forms, comments, hidden parts).
 
-First pass: boilerplate and link-heavy blocks are bad; long blocks with enough stop words are good; long blocks with almost
-none, outside an article, are bad; the rest (short blocks and headings) is undecided. Second pass: an undecided block takes
-the label of the nearest decided block of the same region that is not boilerplate by its element, a heading that of the
-next one; if the two sides are equally near and differ, its stop words decide; without any decided neighbour it is good only inside an article. If the first pass
-finds nothing good, long blocks without many links are. If the page has
-an article region with text, blocks outside it are bad.
+First pass, inside and outside regions alike: boilerplate and link-heavy blocks are bad; long blocks with enough stop words
+are good; long blocks with almost none are bad, but undecided inside a region or if no block of the page has enough; the
+rest (short blocks and headings) is undecided. If nothing is good, as on pages in a language without known stop words, length
+and links decide: long blocks without many links are good, else those of medium length.
+
+Second pass: an undecided block takes the label of the nearest decided block of the same region that is not boilerplate by
+its element, a heading that of the next one; if the two sides are equally near and differ, its stop words decide. Only where a
+region has no decided block at all does the region itself tell: an article's short blocks are good, others bad.
 
 Defined results: null or empty html gives an empty text; broken markup is read as browsers do in the common cases (unclosed
-paragraphs and list items end at the next block, an unclosed script or comment runs to the end); pages of any length are
-read whole; rows are independent, so repeated rows, null ids and extra columns change nothing; an empty table gives an
-empty result.
+paragraphs and list items end at the next block, an unclosed script, style or comment runs to the end; of other unread
+elements that never close, only the tag goes); a quote opens a value only after an equals sign; the fallback of objects and
+formulas count as text; pages of any length are read whole; rows are independent, so repeated rows, null ids and extra columns
+change nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +36,11 @@ from pyspark.sql import functions as F
 from .common import text_batches
 
 # Kinds of elements, and words of class, id and role that mark boilerplate.
-RAW = frozenset("script style noscript template title textarea svg iframe object math canvas noframes".split())
+#: What these hold is not read. Those of TO_THE_END hide everything that follows if they never close.
+RAW = frozenset("script style noscript template title textarea svg iframe canvas noframes annotation annotation-xml".split())
+TO_THE_END = frozenset("script style".split())
+#: These can hold themselves.
+NESTING = frozenset("svg template canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -58,11 +65,14 @@ STOP_WORDS = frozenset(
     "als auch auf aus bei das dass dem den der die ein eine er es für ich im ist mit nach nicht sich sie sind so und von war wie zu zum "
     "al como con del el ella ellos era esta este fue ha las lo los más muy no para pero por sin sobre su sus una y".split()
 )
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SPACES = re.compile(r"\s+")
+#: The least share of link text of a bad block, and the least lengths of long and medium blocks.
 LINKS, LONG, MEDIUM = 0.5, 140, 70
+#: Shares of stop words: of a good long block, of a good medium one, of ordinary prose at least, and what settles a tie.
+DENSE_LONG, DENSE_MEDIUM, SPARSE, DENSE_TIE = 0.1, 0.2, 0.05, 0.15
 
 
 @dataclass
@@ -108,6 +118,24 @@ def _plain_words(names: list[str]) -> set[str]:
     return {w for n in names if not re.match(r"(no|has|have|with|without|is)[-_]", n) for w in (n, *re.split(r"[-_]+", n))}
 
 
+def _after(page: str, kind: str, at: int) -> int:
+    """Where the unread element of that kind ends whose opening tag ends at `at`."""
+    if kind not in _ends:
+        _ends[kind] = re.compile(f"<(/?){kind}(?=[\\s/>]|\\Z)", re.I)
+    depth, pos = 1, at
+    while depth:
+        tag = _ends[kind].search(page, pos)
+        if not tag:
+            return len(page) if kind in TO_THE_END else at
+        pos = tag.end()
+        depth += -1 if tag[1] else 1 if kind in NESTING else 0
+    tail = page.find(">", pos)
+    return tail + 1 if tail >= 0 else len(page)
+
+
+_ends: dict[str, re.Pattern] = {}
+
+
 def read_blocks(page: str) -> list[Block]:
     """The page's blocks in order, empty ones left out."""
     blocks: list[Block] = []
@@ -157,9 +185,7 @@ def read_blocks(page: str) -> list[Block]:
             continue
         if kind in RAW:
             if not m[3].endswith("/") or kind in ("script", "style", "title", "textarea"):
-                close = re.compile(f"</{kind}", re.I).search(page, at)
-                tail = page.find(">", close.end()) if close else -1
-                at = tail + 1 if tail >= 0 else end
+                at = _after(page, kind, at)
             continue
         if kind in BLOCK:
             end_block()
@@ -194,32 +220,37 @@ def read_blocks(page: str) -> list[Block]:
     return blocks
 
 
+def first_pass(blocks: list[Block], density: list[float]) -> list[bool | None]:
+    """Good, bad or undecided (None) by density, length and links alone."""
+
+    def links(b: Block) -> bool:
+        return b.bad or b.link_chars > LINKS * len(b.text)
+
+    def dense(b: Block, share: float) -> bool:
+        return not b.heading and ((len(b.text) >= LONG and share >= DENSE_LONG) or (len(b.text) >= MEDIUM and share >= DENSE_MEDIUM))
+
+    out: list[bool | None] = [False if links(b) else True if dense(b, s) else None for b, s in zip(blocks, density)]
+    if True in out:
+        for k, b in enumerate(blocks):
+            if out[k] is None and not b.heading and len(b.text) >= MEDIUM and density[k] < SPARSE and not b.region:
+                out[k] = False
+        return out
+    for least in (LONG, MEDIUM):  # no stop words known here
+        for k, b in enumerate(blocks):
+            if out[k] is None and not b.heading and len(b.text) >= least:
+                out[k] = True
+        if True in out:
+            break
+    return out
+
+
 def classify(blocks: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[bool]:
     """Which blocks belong to the main text."""
-    use_region = any(b.region and not b.bad for b in blocks)
-    good: list[bool | None] = []
     density = []
     for b in blocks:
         words = b.text.lower().split()
-        share = sum(w.strip(".,;:!?()\"'*#$%&|") in stop_words for w in words) / len(words)
-        density.append(share)
-        if b.bad or (use_region and not b.region):
-            good.append(False)
-        elif b.link_chars > LINKS * len(b.text):
-            good.append(False)
-        elif b.heading:
-            good.append(None)
-        elif (len(b.text) >= LONG and share >= 0.1) or (len(b.text) >= MEDIUM and share >= 0.2):
-            good.append(True)
-        elif len(b.text) >= MEDIUM and share < 0.05 and not b.region:
-            good.append(False)
-        else:
-            good.append(None)
-    if not any(good):  # a language without stop words here: length and links must do
-        for k, b in enumerate(blocks):
-            free = not b.bad and (b.region or not use_region) and b.link_chars <= LINKS * len(b.text)
-            if free and not b.heading and len(b.text) >= LONG:
-                good[k] = True
+        density.append(sum(w.strip(".,;:!?()\"'*#$%&|") in stop_words for w in words) / len(words))
+    good = first_pass(blocks, density)
     #: Neighbours count inside the same region; what boilerplate elements hold is no neighbour.
     before: list[tuple[int, bool] | None] = []
     last: dict[int, tuple[int, bool]] = {}
@@ -238,10 +269,8 @@ def classify(blocks: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> li
     for k, (b, g) in enumerate(zip(blocks, good)):
         if g is None:
             x, y = before[k], after[k]
-            if b.region:
-                g = True  # inside an article only what is decidedly bad goes
-            elif not x and not y:
-                g = False
+            if not x and not y:
+                g = b.region > 0
             elif b.heading and y:
                 g = y[1]
             elif not x or not y:
@@ -249,7 +278,7 @@ def classify(blocks: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> li
             elif k - x[0] != y[0] - k:
                 g = x[1] if k - x[0] < y[0] - k else y[1]
             else:
-                g = x[1] if x[1] == y[1] else density[k] >= 0.15
+                g = x[1] if x[1] == y[1] else density[k] >= DENSE_TIE
         out.append(g)
     return out
 

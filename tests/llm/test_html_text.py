@@ -1,3 +1,4 @@
+import collections
 import html
 import re
 
@@ -64,3 +65,66 @@ def test_query(spark):
         want = [" ".join(html.unescape(re.sub("<[^>]+>", " ", p)).split()) for p in parts]
         assert got[r.page_id].text == "\n\n".join(w for w in want if w)
         assert (got[r.page_id].url, got[r.page_id].n_chars) == (r.url, len(got[r.page_id].text))
+
+
+LINKED = "<p><a href=1>{0}</a> <a href=2>{0}</a></p>".format("One more page of this site that you may like to read")
+
+
+def test_rules_decide_inside_articles_too():
+    page = f"<article><p>{LONG}</p><p>near the good one</p>{LINKED}<p>near the links</p>{LINKED}</article>"
+    assert main_text(page) == f"{LONG}\n\nnear the good one"
+    assert main_text("<main><p>No block here is decided.</p></main>") == "No block here is decided."
+
+
+PLAIN = f"<div>Home</div>{LINKED}<div>Small print</div><div><h2>A head</h2><p>{LONG}</p><p>{FAR}</p><p>A tail.</p></div><div>Other</div>{LINKED}"
+
+
+def test_stop_words_and_bars_decide_on_plain_pages(monkeypatch):
+    """Neither article nor classes: density, length and links alone."""
+    from roomwright.llm import html_text as rules
+
+    want = f"A head\n\n{LONG}\n\nA tail."
+    assert main_text(PLAIN.replace(f"<p>{FAR}</p>", "")) == want
+    assert FAR not in main_text(PLAIN)  # hardly any stop words next to a dense block
+    assert FAR in main_text(PLAIN, frozenset())
+    monkeypatch.setattr(rules, "LINKS", 2.0)
+    assert "of this site" in main_text(PLAIN)
+    monkeypatch.setattr(rules, "LINKS", 0.5)
+    monkeypatch.setattr(rules, "LONG", 10**9)
+    monkeypatch.setattr(rules, "MEDIUM", 10**9)
+    assert main_text(PLAIN) == ""
+
+
+def test_medium_paragraphs_without_stop_words_stay():
+    short = [FAR[:100], FAR[20:130]]
+    assert main_text("".join(f"<p>{p}</p>" for p in short) + LINKED) == "\n\n".join(s.strip() for s in short)
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><p title=it's>{LONG}</p><p>It's the end.</p></article>", f"{LONG}\n\nIt's the end."),
+    (f"<p>{LONG}</p><p title='never closed>{LONG}</p><p>{FAR}", f"{LONG}\n\n{LONG}"),
+    (f"<article><svg><path d='M0'><p>{LONG}</p></article>", LONG),
+    (f"<article><svg><svg><title>x</title></svg><text>y</text></svg><p>{LONG}</p></article>", LONG),
+    (f"<article><object data=x><p>{LONG}</p></object><p>so <math><mi>x</mi></math> is</p></article>", f"{LONG}\n\nso x is"),
+    (f"<article><noscript>x<p>{LONG}</p></article>", f"x\n\n{LONG}"),
+    (f"<article><iframe src=x>y</iframe><template><p>z</p></template><p a=\"1>2\" b='3>4'>{LONG}</p></article>", LONG),
+    (f"<p \"odd>{LONG}</p>", LONG),
+])
+def test_malformed_pages_lose_no_text(page, want):
+    assert main_text(page) == want
+
+
+def test_articles_are_found_without_their_element():
+    """The pages of sf0.1 without the article tags: only density, length, links and neighbours are left inside the body."""
+    import pyarrow.parquet as pq
+
+    same, hits, kept, wanted = 0, 0, 0, 0
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).column("html").to_pylist()
+    for page in pages:
+        want = main_text(page).split("\n\n")
+        got = [b for b in main_text(re.sub("</?article>", "", page)).split("\n\n") if b]
+        same += got == want
+        common = sum((collections.Counter(got) & collections.Counter(want)).values())
+        hits, kept, wanted = hits + common, kept + len(got), wanted + len(want)
+    print("equal pages", same / len(pages), "recall", hits / wanted, "precision", hits / kept)
+    assert same / len(pages) > 0.94 and hits / wanted > 0.97 and hits / kept > 0.99
