@@ -13,8 +13,9 @@ vector, so that a shard holds about `SHARD_ROWS`. A query first searches one sha
 distances, and then only those other shards whose bounding boxes the stopping test does not exclude. Queries go to shards
 in blocks; each task holds one shard and one block.
 
-Equal vectors score equally against everything, so of each group of equal vectors in a shard, only the k + 1 smallest ids
-can be in a result; the others are indexed and counted but not compared again.
+Equal vectors score equally against everything, so of each group of equal vectors only the k + 1 smallest ids can be in a
+result; the others ask, but are left out of the shards, by a group limit that acts before the shuffle, so that a vector with
+very many copies gathers in no task. Of different vectors that tie with the k-th score, those with the smaller ids stay.
 
 Defined results: vectors that are null, all zero, or have null or non-finite components take no part, nor do vectors of
 another length than most or rows without id; a row is never its own neighbour (rows are told apart by id); equal scores go
@@ -147,13 +148,17 @@ def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
 
 
 class Shard:
-    """The searchable index of some rows."""
+    """The searchable index of some rows. Rows of `vectors` are in the order of their smallest ids."""
 
     def __init__(self, space: Space, ids: np.ndarray, vectors: np.ndarray, k: int):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
         _, first, same = np.unique(vectors.view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        self.space, self.k = space, k
+        self.space, self.k, self.verified, self.asked = space, k, 0, 0
+        order = np.argsort(first)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first, same = first[order], place[same.ravel()]
         self.vectors = vectors[first]
         by = np.argsort(same, kind="stable")
         begins = np.searchsorted(same[by], np.arange(len(first)))
@@ -179,13 +184,16 @@ class Shard:
         order = np.argsort(far, axis=1)
         best, score = np.zeros((n, keep), np.int64), np.full((n, keep), -np.inf)
         active = np.arange(n)
+        noise = 1e-12 * np.linalg.norm(queries, axis=1) * max(1.0, self.space.norm)
+        self.asked += n * len(self.leaves)
         for wave in range(0, len(self.leaves), LEAVES_AT_ONCE):
-            kth = self.space.squared_distance(queries[active], np.where(np.isfinite(score[active, -1]), score[active, -1], -1e300))
+            kth = self.space.squared_distance(queries[active], np.where(np.isfinite(score[active, -1]), score[active, -1], -1e200))
             limit = bound * np.minimum(kth, known[active])
             active = active[far[active, order[active, wave]] <= limit]
             if not len(active):
                 break
             mine = order[active, wave : wave + LEAVES_AT_ONCE]
+            self.verified += mine.size
             found_rows, found_score = [best[active]], [score[active]]
             width = max(len(leaf) for leaf in self.leaves)
             rows = np.zeros((len(active), mine.shape[1] * width), np.int64)
@@ -200,6 +208,11 @@ class Shard:
             found_score.append(value)
             rows, value = np.concatenate(found_rows, axis=1), np.concatenate(found_score, axis=1)
             top = np.argpartition(-value, keep - 1, axis=1)[:, :keep]
+            least = np.take_along_axis(value, top, axis=1).min(axis=1) - noise[active]
+            for q in np.flatnonzero(((value >= least[:, None]).sum(axis=1) > keep) & (least > -np.inf)):
+                near = np.flatnonzero(value[q] >= least[q])  # ties with the last: settled by exact score and smallest id
+                exact = (self.vectors[rows[q, near]] * queries[active[q]]).sum(axis=1)
+                top[q] = near[np.lexsort((rows[q, near], -exact))[:keep]]
             value = np.take_along_axis(value, top, axis=1)
             sort = np.argsort(-value, axis=1, kind="stable")
             score[active] = np.take_along_axis(value, sort, axis=1)
@@ -251,7 +264,10 @@ def nearest_neighbours(table: DataFrame, queries, k: int = 20, id_col: str = "ve
             packed = pa.array([v.tobytes() for v in vectors], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cuts.cell(points)), packed, pa.array(list(points), pa.list_(pa.float64()))], ["id", "cell", "v", "p"])
 
-    index = materialize(rows.mapInArrow(place, "id long, cell long, v binary, p array<double>"), "ann-index")
+    placed = "id long, cell long, v binary, p array<double>"
+    same_vector = W.partitionBy("cell", "v").orderBy("id")
+    every_row = rows.mapInArrow(place, placed).dropDuplicates(["id", "v"])
+    index = materialize(every_row.withColumn("n", F.row_number().over(same_vector)).where(F.col("n") <= k + 1).drop("n"), "ann-index")
     #: One row per cell: its size and its bounding box.
     box = [F.min(F.get("p", F.lit(a))).alias(f"low{a}") for a in range(AXES)] + [F.max(F.get("p", F.lit(a))).alias(f"high{a}") for a in range(AXES)]
     stats = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *box).orderBy("cell").collect()
@@ -262,7 +278,7 @@ def nearest_neighbours(table: DataFrame, queries, k: int = 20, id_col: str = "ve
     part_of = F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)])
     in_part = F.pmod(F.xxhash64("v", F.lit(3)), F.element_at(part_of, F.col("cell")))
     shards = index.select(F.struct("cell", in_part.alias("part")).alias("shard"), "id", "v")
-    asked = index.where(queries(F.col("id"))).select("id", "v", "cell").dropDuplicates(["id"])
+    asked = materialize(rows.where(queries(F.col("id"))).mapInArrow(place, placed).groupBy("id").agg(F.min(F.struct("v", "cell")).alias("s")).select("id", "s.v", "s.cell"), "ann-queries")
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     block = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(blocks))
     bound = chi_square_bound(confidence)
