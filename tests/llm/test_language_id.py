@@ -56,3 +56,61 @@ def test_query(spark):
     right = sum(docs[r.doc_id] == r.lang_pred for r in held) / len(held)
     print("accuracy", right)
     assert right > 0.97
+
+
+def test_wide_alphabets_and_long_texts_stay_small(monkeypatch):
+    """300,000 random characters out of 20,000: pieces and blocks give what one step gives."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 20_000, 300_000).tolist()))
+    letters = lid.Letters(64)
+    tracemalloc.start()
+    got = lid.text_vectors([text, "abc", text[:10]], letters)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got[0], plain_vector(text, letters)) and np.array_equal(got[2], plain_vector(text[:10], letters))
+    assert peak < 100 << 20
+    monkeypatch.setattr(lid, "CHARS_AT_ONCE", 1000)
+    monkeypatch.setattr(lid, "GRAMS_AT_ONCE", 77)
+    again = lid.text_vectors([text[:20_000], "The cat sat. " * 500], letters)
+    assert np.array_equal(again[0], plain_vector(text[:20_000], letters)) and np.array_equal(again[1], plain_vector("The cat sat. " * 500, letters))
+
+
+def test_scores_of_few_letters_are_near_one_half():
+    letters = lid.Letters()
+    words = "the cat and the dog sat on the mat with a friend of theirs "
+    v = lid.text_vectors([words * 50], letters)[0]
+    profiles = lid.Profiles(["en"], (v / np.linalg.norm(v))[None].astype(float))
+    names, scores = profiles.classify(["q", "qz xk", "xkqz vjq zzx " * 40, words * 3, None], letters)
+    assert names == ["en", "en", "en", "en", "und"]
+    assert 0.4 < scores[0] <= 0.5 and 0.2 < scores[1] < 0.5 and scores[2] < 0.1 and scores[3] > 0.9 and scores[4] == 0
+
+
+def test_query_equals_a_plain_form(spark):
+    """held_out, und and the predictions of the whole table, one text and one trigram at a time."""
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.select("doc_id", "text", "lang").collect()}
+    learned = [r for r in rows.values() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None]
+    letters = lid.Letters()
+    lid.text_vectors([r.text for r in rows.values() if r.text], letters)
+    own = {i: plain_vector(r.text, letters) for i, r in rows.items() if r.text and len(r.text) < 4000}
+    sums = {}
+    for r in learned:
+        sums[r.lang] = sums.get(r.lang, 0) + (own[r.doc_id] if r.doc_id in own else lid.text_vectors([r.text], letters)[0])
+    got = {r.doc_id: r for r in QUERIES["op3_language_id"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    names = sorted(sums)
+    protos = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    for i, r in rows.items():
+        g = got[i]
+        assert g.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not any(map(str.isalpha, r.text or "")):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+        elif i in own:
+            cosine = protos @ own[i] / np.linalg.norm(own[i])
+            assert cosine[names.index(g.lang_pred)] > cosine.max() - 1e-4
+            assert 0 <= g.score <= 1
