@@ -2,6 +2,11 @@
 
 STAGES is applied in order; each stage's result is written as Parquet and reread as the next one's documents. All stages but
 the last return the columns of documents.
+
+Rows are told apart by doc_id and text: different texts of one doc_id, or without any, all take part, and of rows that agree
+in both one goes on. Null and empty texts have no letters and go in the first stage. Further columns, of whatever names, go
+along. Empty tables give empty results. What a stage writes for itself is deleted once its result is written, and that once
+the next stage's is.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomwright.llm.common import materialize, read_table
+from roomwright.llm.common import discard, free_name, materialize, quoted, read_table, scratch_scope
 from roomwright.llm.exact_dedup import exact_dedup
 from roomwright.llm.language_id import fit_profiles, predict_language
 from roomwright.llm.packing import pack
@@ -18,9 +23,9 @@ from roomwright.llm.registry import is_held_out
 from roomwright.llm.secret_scan import fit_ratios, labelled_samples, redact, secret_spans
 from roomwright.llm.simhash import simhash_classes
 
-#: A text whose letters follow no learned language has a cosine near 0 with every prototype.
+#: A text whose letters follow no learned language has a cosine, and so a score, near 0 with every prototype.
 LEAST_COSINE = 0.1
-#: So has a text of few letters in a learned language, so fewer letters than these are judged by no cosine.
+#: So may a text of few letters in a learned language have, so fewer letters than these are judged by no score.
 LEAST_LETTERS = 30
 
 
@@ -31,16 +36,17 @@ def text_key() -> Column:
 
 def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id (null too) and text_key, as _key, occur together in keys; one row for each such pair."""
-    a, b = docs.withColumn("_key", text_key()).alias("a"), keys.select("doc_id", "_key").alias("b")
-    found = a.join(b, (F.col("a._key") == F.col("b._key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    row = F.struct(*map(quoted, docs.columns))
+    a, b = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_key"), row.alias("_row")).alias("a"), keys.select("doc_id", "_key").alias("b")
+    found = a.join(b, (F.col("a._key") == F.col("b._key")) & F.col("a._id").eqNullSafe(F.col("b.doc_id")), "left_semi")
+    return found.dropDuplicates(["_id", "_key"]).select("_row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or in none of the learned languages go. Without labels nothing can be judged but letters; of
     fewer than LEAST_LETTERS letters, any language that is found counts."""
     profiles = fit_profiles(docs.where(F.coalesce(~is_held_out(), F.lit(False))))
-    judged = predict_language(docs, profiles, extra=F.struct(*docs.columns))
+    judged = predict_language(docs, profiles, extra=F.struct(*map(quoted, docs.columns)))
     short = F.regexp_count("extra.text", F.lit(r"\p{L}")) < LEAST_LETTERS
     if profiles.languages:
         kept = judged.where((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_COSINE) | short))
@@ -63,11 +69,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; all documents stay, and n_chars follows the text."""
-    found = secret_spans(docs, fit_ratios(labelled_samples(docs)), out_col="_spans")
-    clean = found.withColumn("_text", redact(F.col("text"), F.col("_spans")))
-    length = F.when(F.size("_spans") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))
-    new = {"text": F.col("_text"), "n_chars": length}
-    return clean.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    spans, text = free_name(docs, "_spans"), free_name(docs, "_text")
+    found = secret_spans(docs, fit_ratios(labelled_samples(docs)), out_col=spans)
+    clean = found.withColumn(text, redact(F.col("text"), F.col(spans)))
+    length = F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col(text), "n_chars": length}
+    return clean.select(*[new.get(c, quoted(c)).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,6 +97,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark) as made:
+            after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            made.pop()  # the stage's result
+        if before is not None:
+            discard(before)
+        docs = before = after
     return STAGES[-1][1](spark, docs, sf_dir)

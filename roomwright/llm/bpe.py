@@ -6,7 +6,8 @@ refreshed, until no pair can merge. Scanning is quadratic in the word's length,
 their minimum from a heap instead; the merges and the result are the same.
 
 Results of words and of whole stretches between single spaces are remembered in two tables per Python worker, emptied
-when they reach `CACHE_WORDS` entries.
+when they reach `CACHE_WORDS` entries between two texts or about `CACHE_BYTES` inside one; words and stretches over
+`LONG_WORD` characters are not remembered.
 
 Defined results: a null text counts as empty and gives no ids; texts of any length are encoded whole; the strings of
 special tokens become their ids, as in the vocabulary file's own library; rows are independent of each other, so ties,
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_BYTES = 400_000, 80 << 20
 LONG_WORD = 200
 
 #: Unicode's White_Space, which the vocabulary's pattern means by \s.
@@ -47,12 +48,21 @@ class _Memo(dict):
     """A dict that computes what it lacks."""
 
     def __init__(self, compute):
-        self.compute = compute
+        self.compute, self.held = compute, 0
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= LONG_WORD:
+            self.held += len(key) + len(value) + 200  # the two objects themselves
+            if self.held > CACHE_BYTES:
+                self.clear()
+            self[key] = value
         return value
 
+    def clear(self):
+        super().clear()
+        self.held = 0
+
 
 class Codec:
     """Encodes texts into packed ids (little-endian unsigned 32-bit integers) and decodes them."""

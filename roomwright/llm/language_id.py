@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import text_batches
 
@@ -194,6 +195,7 @@ def predict_language(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id"
             names, scores = profiles.classify(batch.column("text").to_pylist(), _worker_letters())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), batch.column("extra")], ["_id", "lang_pred", "score", "extra"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.mapInArrow(run, f"_id {kinds['_id']}, lang_pred string, score double, extra {kinds['extra']}").withColumnRenamed("_id", id_col)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = StructType().add("_id", kinds["_id"]).add("lang_pred", "string").add("score", "double").add("extra", kinds["extra"])
+    out = rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
     return out.drop("extra") if extra is None else out

@@ -6,12 +6,14 @@ are shared by all thresholds, so the model orders texts on one scale; it gives t
 reaching a grade.
 
 Features of a white-space-separated stretch: its letters and digits in lower case, their first 5 and 7, the marks around
-them, and whether it repeats its predecessor. All stretches of a text count, once per distinct feature. Fitting takes a bounded sample of
-labelled rows (`SAMPLE_ROWS`, chosen by a hash of the id); only hashed features go to the driver. An L1 penalty leaves
-weights on few features, so that long texts do not gather noise.
+them, and whether it repeats its predecessor. All stretches of a text count, once per distinct feature. Fitting takes a bounded sample
+of labelled texts: those with the smallest hashes, at most `SAMPLE_ROWS` of them and at most `SAMPLE_FEATURES` features in
+all (but one text at least); only hashed features go to the driver. An L1 penalty leaves weights on few features, so that long
+texts do not gather noise.
 
 Defined results: a null or empty text has no features and score 0; a label row without grade is left out; documents without
-a label are scored like others; if labels repeat an id, each row counts; rows are independent, so repeated rows, null ids
+a label are scored like others; of labelled rows that agree in id, text and grade one counts, different grades of an id count
+each; when scoring, rows are independent, so repeated rows, null ids
 and extra columns change nothing; without labels every probability is 1/2; empty tables give empty results.
 """
 
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import discard, materialize, text_batches
 
 BUCKETS = 1 << 18
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS, SAMPLE_FEATURES = 8_000, 20_000_000
 L1, ROUNDS, LEAST_TEXTS = 0.0005, 200, 3
 #: Lengths of the beginnings that stand for a word's stem.
 STEMS = (5, 7)
@@ -46,10 +48,10 @@ def stretch_features(stretch: str) -> tuple[int, ...]:
     """Buckets of a stretch: its core, and the marks before and after it."""
     core = _CORE.search(stretch)
     if not core:
-        return (_bucket("marks " + stretch[:8]),)
+        return (_bucket("marks " + stretch),)
     marks, word = (stretch[: core.start()], stretch[core.end() :]), core[0].lower()
     stems = (_bucket(f"stem {word[:k]}") for k in STEMS if len(word) > k)
-    return (_bucket("word " + word), *stems, *(_bucket(f"mark {k} {m[:8]}") for k, m in enumerate(marks) if m))
+    return (_bucket("word " + word), *stems, *(_bucket(f"mark {k} {m}") for k, m in enumerate(marks) if m))
 
 
 REPEATED = _bucket("repeated")
@@ -135,19 +137,30 @@ def _worker_featurizer() -> Featurizer:
 
 
 def fit_quality(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fits on about sample_rows of the rows of `graded` (id, grade from 0 to grades - 1)."""
-    rated = graded.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{grade_col}`").cast("int").alias("grade")).where("grade is not null and _id is not null")
-    count = max(1, rated.count())
-    chance = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(9)), F.lit(1_000_000)) / 1e6
-    sample = rated.where(chance < min(1.0, sample_rows / count))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "_id").select("text", "grade")
+    """Fits on at most sample_rows of the labelled texts of `graded` (id, grade from 0 to grades - 1)."""
+    rated = graded.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{grade_col}`").cast("int").alias("grade")).where("grade is not null and _id is not null").distinct()
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    #: Texts are read for their hashes first; the sample is what has the smallest, so copies of a row come once.
+    hashed = texts.join(rated, "_id").select("text", "grade", F.xxhash64(F.col("_id").cast("string"), "grade", "text").alias("h"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample_rows).collect()]
+    if not least:
+        return fit_ordinal([], grades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            found = [np.array(sorted(_worker_featurizer()(t)), "<i4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("grade")], ["features", "grade"])
-
-    got = rows.mapInArrow(run, "features binary, grade int").collect()
+            found = [np.array(sorted(_worker_featurizer()(t)), "<i4") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("grade"), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["h", "grade", "n", "features"])
+
+    found = hashed.where(F.col("h") <= least[-1]).mapInArrow(run, "h long, grade int, n long, features binary")
+    rows = materialize(found.groupBy("h").agg(F.first("grade").alias("grade"), F.first("n").alias("n"), F.first("features").alias("features")), "quality-sample")
+    total, last = 0, least[0]
+    for r in rows.select("h", "n").orderBy("h").collect():
+        total += r.n
+        if total > SAMPLE_FEATURES:
+            break
+        last = r.h
+    got = rows.where(F.col("h") <= last).select("features", "grade").collect()
+    discard(rows)
     return fit_ordinal([(np.frombuffer(bytes(r.features), "<i4"), r.grade) for r in got], grades)
 
 

@@ -10,10 +10,11 @@ several alphabets from digests of a counter, and identifiers joined from the wor
 (about `SAMPLE_DOCS`, chosen by a hash of the id).
 
 Positions: a text is split at a pattern's matches, and the lengths of the parts before each match are summed up, in code
-points. Texts without a match only meet the pattern once.
+points. Texts without a match only meet the pattern once. Matches are gathered, and texts redacted, in blocks of `BLOCK`, so
+that a text of very many matches copies no growing array or string for each of them.
 
-Defined results: a null text is empty and has no spans; rows are independent, so repeated rows, null ids and extra columns
-change nothing; without documents the identifiers' chain is uniform; an empty table gives an empty result.
+Defined results: a null text is empty and has no spans; rows are independent, so repeated rows, null ids and extra columns of
+any name change nothing (but for the column that out_col names, which is replaced); without documents the identifiers' chain is uniform; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, quoted
+
 #: The base patterns, in the order of their kinds, the group that must be so long, and its least length.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -33,6 +36,7 @@ CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 MEAN_RATIO = 0.6
 SAMPLE_DOCS, SAMPLE_STRINGS = 400, 4_000
+BLOCK = 512
 SPAN = "array<struct<start:int,stop:int,rank:int,kind:string>>"
 
 
@@ -50,10 +54,26 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
         longer = F.coalesce(F.length(part["word"]), F.lit(0)) >= least
         return F.struct(stop.alias("at"), F.when(longer, F.array_append(state["out"], found)).otherwise(state["out"]).alias("out"))
 
-    scan = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda state: state["out"])
+    def block(state: Column, own: Column) -> Column:
+        inner = F.aggregate(own, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.array_append(state["out"], x["out"]).alias("out")))
+
+    blocks = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int,word:string>>>").alias("out"))
+    scan = _let(parts, lambda p: F.aggregate(_blocks(p), blocks, block, lambda state: F.flatten(state["out"])))
     return F.when(text.rlike(pattern), scan).otherwise(none)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK items."""
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
+
+
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, strings: int = SAMPLE_STRINGS) -> DataFrame:
     """(word, secret): random strings and ordinary identifiers."""
     spark = docs.sparkSession
@@ -115,9 +135,13 @@ def secret_spans(docs: DataFrame, ratios: list[float], text_col: str = "text", o
 
     base = F.concat(*[tagged(matches(text, pattern, group, least), k, kind) for k, (kind, pattern, group, least) in enumerate(BASE)])
     runs = matches(text, RUN, 0, 16)
-    odd = F.filter(runs, lambda m: (ratio(m["word"], ratios) > mean_ratio) & ~F.exists(F.col("_base"), lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
-    return docs.select(*kept, F.struct(base.alias("x")).alias("_w")).withColumn("_base", F.col("_w.x")).select(*kept, F.array_sort(F.concat("_base", tagged(odd, len(BASE), "random"))).alias(out_col))
+    own, inner = free_name(docs, "_base"), free_name(docs, "_wrapped")
+    found = F.col(own)
+    odd = F.filter(runs, lambda m: (ratio(m["word"], ratios) > mean_ratio) & ~F.exists(found, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
+    kept = [quoted(c) for c in docs.columns if c != out_col]
+    #: In a struct, so that the optimizer does not put the scan for base spans into every place that reads it.
+    scanned = docs.select(*map(quoted, docs.columns), F.struct(base.alias("x")).alias(inner)).withColumn(own, F.col(f"{inner}.x"))
+    return scanned.select(*kept, F.array_sort(F.concat(found, tagged(odd, len(BASE), "random"))).alias(out_col))
 
 
 def span_text(spans: Column) -> Column:
@@ -127,10 +151,21 @@ def span_text(spans: Column) -> Column:
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each stretch covered by spans (ordered by start) replaced by one mark."""
 
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] > state["at"]
-        piece = F.when(apart | (state["at"] == 0), F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], piece).alias("out"))
+    def stretch(own: Column, begin: Column) -> Column:
+        """The marked text from code point `begin` to the end of the block's last span; `part` is that text unmarked."""
+        end = F.greatest(begin, F.array_max(F.transform(own, lambda s: s["stop"])))
+
+        def step(part: Column, state: Column, s: Column) -> Column:
+            apart = (s["start"] > state["at"]) | (state["at"] == 0)
+            piece = F.when(apart, F.concat(F.substring(part, state["at"] - begin + 1, s["start"] - state["at"]), F.lit(mark))).otherwise("")
+            return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.array_append(state["out"], piece).alias("out"))
+
+        start = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out"))
+        return _let(F.substring(text, begin + 1, end - begin), lambda part: F.aggregate(own, start, lambda state, s: step(part, state, s)))
+
+    def block(state: Column, own: Column) -> Column:
+        return _let(stretch(own, state["at"]), lambda x: F.struct(x["at"].alias("at"), F.array_append(state["out"], F.array_join(x["out"], "")).alias("out")))
 
-    end = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    end = F.aggregate(_blocks(spans), begin, block, lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, end).otherwise(text)

@@ -3,12 +3,14 @@
 A fingerprint bit is 1 if more than half of the text's word shingles have it set in their XXH64. Fingerprints at most
 `radius` bits apart are linked, and documents connected by links form one class.
 
-Candidates: the 64 bits are cut into radius + 1 bands, and two fingerprints within the radius agree in one band at least.
-Each distinct fingerprint is dealt to its bands' buckets. Inside a bucket fingerprints lie in blocks of 64, stored
+Candidates: the 64 bits are cut into radius + 2 bands, and two fingerprints within the radius agree in two bands at least.
+Each distinct fingerprint is dealt to the buckets of its pairs of bands: ten of 25 or 26 bits for a radius of 3, so that a
+bucket of unrelated fingerprints holds one in 33 million of them. Radii over `MOST_PAIRED` take radius + 1 bands, one at a
+time. Inside a bucket fingerprints lie in blocks of 64, stored
 vertically: one machine word per bit position. A fingerprint is compared with a whole block at once, bit plane by bit
 plane; the 64 distances are kept in carry-save counters (two words for radii of 0 to 3, three up to 7, and so on, one for
 overflow), two planes per full adder, and a block is abandoned as soon as every lane has overflown. More bands are narrower:
-from a radius of about 7 on, buckets hold so many fingerprints that the work nears that of comparing all pairs. The links of a task are contracted to a spanning
+from a radius of about 8 on, buckets hold so many fingerprints that the work nears that of comparing all pairs. The links of a task are contracted to a spanning
 forest before they leave it, so no group emits its pairs.
 
 Buckets over `CHUNK` fingerprints are cut into chunks, and every pair of chunks is a task of its own, so no bucket is
@@ -21,6 +23,7 @@ class with null ids only has a null id); empty tables give empty results; extra
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ from .components import connected_components
 CHUNK = 32_768
 #: Bands are two bits wide then.
 MOST_RADIUS = 31
+#: Up to this radius buckets are made of pairs of bands.
+MOST_PAIRED = 7
 #: Rows of buckets that are compared in one go, and (fingerprint, block) comparisons in one go.
 ROWS_AT_ONCE, TASKS_AT_ONCE = 400_000, 1 << 16
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -191,14 +196,28 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield solve(*(np.concatenate(x) for x in zip(*held)))
 
 
+def bucket_keys(fp: Column, radius: int) -> Column:
+    """array<long>: the buckets of a fingerprint. Fingerprints at most radius bits apart share one at least."""
+    pairs = 2 if radius <= MOST_PAIRED else 1
+    bands = radius + pairs
+    edges = [64 * k // bands for k in range(bands + 1)]
+    spans = [*zip(edges, edges[1:])]
+    chosen = [*itertools.combinations(spans, pairs)]
+
+    def key(parts: tuple[tuple[int, int], ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for lo, hi in parts:
+            out = F.shiftleft(out, hi - lo).bitwiseOR(F.shiftrightunsigned(F.shiftleft(fp, 64 - hi), 64 - hi + lo))
+        return out
+
+    return F.array(*[key(parts) * len(chosen) + k for k, parts in enumerate(chosen)])
+
+
 def near_links(nodes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
     """nodes (fp, node), fp distinct -> edges (a, b) between nodes; they connect exactly the nodes that links connect."""
     if not 0 <= radius <= MOST_RADIUS:
         raise ValueError(f"radii are 0 to {MOST_RADIUS}")
-    bands = radius + 1
-    edges = [64 * k // bands for k in range(bands + 1)]
-    keys = F.array(*[F.shiftrightunsigned(F.shiftleft(F.col("fp"), 64 - hi), 64 - hi + lo) * bands + k for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]) if bands > 1 else F.array(F.lit(0).cast("long"))
-    dealt = nodes.select("fp", "node", F.explode(keys).alias("key"))
+    dealt = nodes.select("fp", "node", F.explode(bucket_keys(F.col("fp"), radius)).alias("key"))
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / chunk))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.least(k, F.col("mine")) * F.col("parts") + F.greatest(k, F.col("mine")))

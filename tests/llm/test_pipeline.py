@@ -122,3 +122,28 @@ def test_odd_documents(spark):
         left = sorted((str(r.doc_id) for r in frame.collect()))
         assert left in (["6", "None"], [])
         assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == len(left)
+
+
+def test_columns_of_any_name(spark):
+    names = ["_w", "_base", "_text", "_spans", "_key", "_row", "_id", "extra", "key", "fp", "a.b", "odd`name"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names)
+    texts = {1: "the cat and the dog sat on the mat with a friend of theirs", 2: "the secret of the house is token = abcdef123 and nothing but that", 3: None}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *range(len(names))) for i, t in texts.items()], schema)
+    frame = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, SF)
+        assert frame.columns == docs.columns
+    rows = sorted(frame.collect())
+    assert [r.doc_id for r in rows] == [1, 2] and all(tuple(r)[5:] == tuple(range(len(names))) for r in rows)
+    assert rows[1].text == "the secret of the house is [SECRET] and nothing but that" and rows[1].n_chars == len(rows[1].text)
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == 2
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert left <= {"pipeline-secret_scan", "packing-ids", "packing-order"}

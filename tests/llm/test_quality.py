@@ -79,3 +79,111 @@ def test_query_finds_toxic_and_poor_documents(spark):
         share = sum(got[r.doc_id].kept for r in own) / len(own)
         print(name, len(own), [grades.count(k) / len(own) for k in range(3)], share)
         assert share > 0.99 if name == "clean" else share < (0.05 if name == "toxic" else 0.2)
+
+
+def plain_features(text):
+    """A text's features, stretch by stretch and without memory."""
+    import re
+    import zlib
+
+    def bucket(f):
+        return zlib.crc32(f.encode()) % quality.BUCKETS
+
+    out, last = set(), None
+    for s in text.split():
+        core = re.search(r"\w+(?:[^\w\s]+\w+)*", s)
+        if core:
+            word = core[0].lower()
+            out.add(bucket("word " + word))
+            out.update(bucket("stem " + word[:k]) for k in (5, 7) if len(word) > k)
+            out.update(bucket(f"mark {k} {m}") for k, m in enumerate((s[: core.start()], s[core.end() :])) if m)
+        else:
+            out.add(bucket("marks " + s))
+        if s == last:
+            out.add(quality.REPEATED)
+        last = s
+    return out
+
+
+def test_query_is_brute_force(spark):
+    """All documents and labels in plain Python: the sample, the features, the probabilities and the selection."""
+    import math
+
+    from roomwright.llm.registry import LEAST_GOOD
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    grades = {(r.doc_id, 0 if r.toxic == 1 else 1 if r.quality == 0 else 2) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic == 1 or r.quality is not None}
+    found = {i: plain_features(t) for i, t in docs.items()}
+    model = quality.fit_ordinal([(sorted(found[i]), g) for i, g in grades if i in docs], 3)
+    got = {r.doc_id: r for r in QUERIES["op9_quality"](spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    for i, fs in found.items():
+        score = sum(w for f, w in model.weights.items() if f in fs)
+        tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert abs(got[i].expected_grade - sum(tails)) < 1e-9 and abs(got[i].p_good - tails[1]) < 1e-9
+        assert got[i].kept == (tails[1] >= LEAST_GOOD)
+
+
+def test_fit_reaches_the_likelihood_of_plain_gradient_steps():
+    """On a small problem no plain subgradient step from the fitted weights gains much."""
+    import math
+
+    rng = random.Random(4)
+    rows = [({k for k in range(6) if rng.random() < 0.4}, rng.randrange(3)) for _ in range(200)]
+    rows = [(fs | {10 + g} if rng.random() < 0.7 else fs, g) for fs, g in rows]
+    model = quality.fit_ordinal([(sorted(fs), g) for fs, g in rows], 3)
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for fs, g in rows:
+            score = sum(weights.get(f, 0.0) for f in fs)
+            for k, t in enumerate(thresholds):
+                p = 1 / (1 + math.exp(t - score))
+                total -= math.log(p if g > k else 1 - p) / len(rows)
+        return total + quality.L1 * sum(map(abs, weights.values()))
+
+    best = loss(model.weights, model.thresholds)
+    for f in [*range(6), 10, 11, 12]:
+        for step in (-0.2, 0.2):
+            assert loss({**model.weights, f: model.weights.get(f, 0.0) + step}, model.thresholds) > best - 2e-3
+    assert best < loss({}, model.thresholds) - 0.1
+
+
+def test_bounds_of_the_sample(spark, monkeypatch):
+    """A third of the rows carries one id and text; they count once, and the sample keeps its bounds."""
+    texts = [(7, "same words again")] * 40 + [(k, f"word{k} other{k} third{k}") for k in range(100, 180)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 2)] * 30 + [(k, k % 3) for k in range(100, 180)], "doc_id long, grade int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_ordinal", lambda rows, grades: seen.append(list(rows)))
+    quality.fit_quality(docs, labels, 3)
+    quality.fit_quality(docs, labels, 3, sample_rows=10)
+    monkeypatch.setattr(quality, "SAMPLE_FEATURES", 50)
+    quality.fit_quality(docs, labels, 3)
+    assert [len(s) for s in seen[:2]] == [81, 10] and 0 < sum(len(f) for f, _ in seen[2]) <= 50
+
+
+def test_report_on_a_last_quarter(spark):
+    """Fitted on half of the labels, reported on the last quarter. Keeping 99 % of the clean documents of the third quarter would
+    ask for a threshold of 0.3 instead of LEAST_GOOD, so both are reported."""
+    from pyspark.sql import functions as F
+
+    from roomwright.llm.registry import GRADES, LEAST_GOOD, grades_of
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = quality.fit_quality(docs, grades_of(labels.where(part < 2)), GRADES)
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("clean")
+    rows = quality.score_quality(docs, model).join(labels.where(part >= 2), "doc_id").select(part.alias("part"), kind.alias("kind"), F.get("tail", F.lit(1)).alias("p")).collect()
+
+    def kept(k, name, least):
+        own = [r.p for r in rows if r.part == k and r.kind == name]
+        return sum(p >= least for p in own) / len(own)
+
+    steps = [k / 10 for k in range(1, 10) if kept(2, "clean", k / 10) >= 0.99]
+    report = {least: {name: round(kept(3, name, least), 4) for name in ("clean", "toxic", "poor")} for least in (max(steps), LEAST_GOOD)}
+    print("threshold by the third quarter", max(steps), "shares kept of the last", report)
+    for own in report.values():
+        assert own["clean"] > 0.98 and own["toxic"] < 0.15 and own["poor"] < 0.4

@@ -107,3 +107,22 @@ def test_query(spark):
         g = got[r.doc_id]
         assert (g.n_assign, g.n_access, g.n_hex, g.base_sha256, g.spans) == want
     print("random spans", odd)
+
+
+def test_columns_of_any_name(spark, ratios):
+    names = ["_w", "_base", "_wrapped", "_spans", "_text", "spans", "a.b", "odd`name"]
+    docs = spark.createDataFrame([(1, "token=abcdef123", *range(8)), (2, None, *range(8))], "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names))
+    got = sorted(scan.secret_spans(docs, ratios).select("*").collect())
+    assert scan.secret_spans(docs, ratios).columns == ["doc_id", "text", *names[:5], *names[6:], "spans"]
+    assert [tuple(r)[2:-1] for r in got] == [(0, 1, 2, 3, 4, 6, 7)] * 2
+    assert [(s.start, s.stop) for s in got[0].spans] == [(0, 15)] and got[1].spans == []
+
+
+def test_very_many_matches_in_one_text(spark, ratios):
+    texts = ["token=abcdef; é " * 20_000, "token=abcdef" * 3_000 + " " + "0123456789abcdef0123456789 " * 1_500]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = scan.secret_spans(docs, ratios).select("doc_id", scan.span_text(F.col("spans")).alias("s"), scan.redact(F.col("text"), F.col("spans")).alias("clean"))
+    for r in found.collect():
+        assert r.s == joined(all_spans(texts[r.doc_id], ratios))
+        if r.doc_id == 0:
+            assert r.clean == "[SECRET]; é " * 20_000

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from roomwright.llm import simhash
 from roomwright.llm.components import connected_components
@@ -112,3 +113,20 @@ def test_query(spark):
     classes = plain_classes(prints)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op4_simhash_dedup"](spark, sf).collect()}
     assert got == {i: (f"{p:016x}", classes[i]) for i, p in prints.items()}
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 5, 7, 8])
+def test_near_fingerprints_share_a_bucket(spark, radius):
+    rng = random.Random(radius)
+    pairs = []
+    for _ in range(200):
+        x = rng.getrandbits(64)
+        y = x
+        for bit in rng.sample(range(64), radius):
+            y ^= 1 << bit
+        pairs.append([v - (1 << 64) if v >> 63 else v for v in (x, y)])
+    table = spark.createDataFrame(pairs, "x long, y long")
+    shared = table.where(F.arrays_overlap(simhash.bucket_keys(F.col("x"), radius), simhash.bucket_keys(F.col("y"), radius)))
+    assert shared.count() == 200
+    keys = table.select(F.explode(simhash.bucket_keys(F.col("x"), radius)).alias("k")).groupBy("k").count()
+    assert radius > 3 or keys.where("count > 1").count() == 0  # wide keys: unrelated fingerprints meet in none
