@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes
 from . import kernel
-from .drawings import map_rows
+from .drawings import map_columns
+from .spatial import box_pairs
 
 
 def shared_walls(rooms: DataFrame, least: float = 0.3) -> DataFrame:
     """drawing_id, i, j (i < j), length: how much of the second room's line lies inside or on the first."""
     boxed = rooms.select("drawing_id", F.struct("room_no", "ring", shapes.bounds(F.col("ring")).alias("box")).alias("a"))
-    other = boxed.withColumnRenamed("a", "b")
-    meet = (F.col("a.box.x0") <= F.col("b.box.x1")) & (F.col("b.box.x0") <= F.col("a.box.x1")) & (F.col("a.box.y0") <= F.col("b.box.y1")) & (F.col("b.box.y0") <= F.col("a.box.y1"))
-    pairs = boxed.join(other, "drawing_id").where((F.col("a.room_no") < F.col("b.room_no")) & meet)
+    pairs = box_pairs(boxed, boxed.withColumnRenamed("a", "b")).where(F.col("a.room_no") < F.col("b.room_no"))
     pairs = pairs.select("drawing_id", F.col("a.room_no").alias("i"), F.col("b.room_no").alias("j"), F.col("a.ring").alias("p"), F.col("b.ring").alias("q"))
 
-    def measure(row: dict) -> tuple[float]:
-        return (kernel.covered_length([(v["x"], v["y"]) for v in row["p"]], [(v["x"], v["y"]) for v in row["q"]]),)
+    def measure(batch) -> list:
+        return [kernel.covered_lengths(kernel.Rings(batch.column("p")), kernel.Rings(batch.column("q")))]
 
-    return map_rows(pairs, measure, "length double", ["drawing_id", "i", "j"]).where(F.col("length") >= least)
+    return map_columns(pairs, measure, "length double", ["drawing_id", "i", "j"]).where(F.col("length") >= least)
 
 
 def adjacency(by_door: DataFrame, by_wall: DataFrame) -> DataFrame:

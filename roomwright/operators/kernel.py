@@ -34,6 +34,65 @@ def ring_centroid(ring) -> Point:
     return float(c[0]), float(c[1])
 
 
+class Rings:
+    """A column of rings (lists of (x, y) structs) as flat arrays, with their bounding boxes and whether a ring is its box."""
+
+    def __init__(self, column):
+        ends = column.offsets.to_numpy()
+        points = column.values.slice(ends[0], ends[-1] - ends[0])
+        self.x, self.y = (points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        self.ends = ends - ends[0]
+        first, size = self.ends[:-1], np.diff(self.ends)
+        self.full = size > 0
+        n, begin = len(size), first[self.full]
+        self.low_x, self.low_y, self.high_x, self.high_y, self.area = (np.zeros(n) for _ in range(5))
+        if len(begin):
+            for to, of, take in ((self.low_x, self.x, np.minimum), (self.low_y, self.y, np.minimum), (self.high_x, self.x, np.maximum), (self.high_y, self.y, np.maximum)):
+                to[self.full] = take.reduceat(of, begin)
+            follow = np.arange(1, len(self.x) + 1)
+            follow[self.ends[1:][self.full] - 1] = begin
+            self.area[self.full] = np.add.reduceat(self.x * self.y[follow] - self.x[follow] * self.y, begin) / 2
+        owner = np.repeat(np.arange(n), size)
+        on_line = (self.x == self.low_x[owner]) | (self.x == self.high_x[owner]) | (self.y == self.low_y[owner]) | (self.y == self.high_y[owner])
+        off = np.bincount(owner[~on_line], minlength=n) > 0
+        self.width, self.height = self.high_x - self.low_x, self.high_y - self.low_y
+        box_area = self.width * self.height
+        self.box = self.full & ~off & (box_area > 0) & (np.abs(np.abs(self.area) - box_area) <= 1e-12 * box_area)
+
+    def ring(self, k: int) -> list[Point]:
+        part = slice(self.ends[k], self.ends[k + 1])
+        return list(zip(self.x[part].tolist(), self.y[part].tolist()))
+
+
+def _common_sides(a: Rings, b: Rings) -> tuple[np.ndarray, np.ndarray]:
+    """Widths and heights of the common boxes, at least 0."""
+    w = np.minimum(a.high_x, b.high_x) - np.maximum(a.low_x, b.low_x)
+    h = np.minimum(a.high_y, b.high_y) - np.maximum(a.low_y, b.low_y)
+    return np.maximum(w, 0), np.maximum(h, 0)
+
+
+def common_areas(a: Rings, b: Rings) -> np.ndarray:
+    """common_area of pairs of rings; rectangles along the axes by their sides."""
+    w, h = _common_sides(a, b)
+    out = np.where((w > 0) & (h > 0), w * h, 0.0)
+    for k in np.flatnonzero((out > 0) & ~(a.box & b.box)).tolist():
+        out[k] = common_area(a.ring(k), b.ring(k))
+    return out
+
+
+def covered_lengths(a: Rings, b: Rings, eps: float = 1e-9) -> np.ndarray:
+    """covered_length of pairs of rings; of rectangles along the axes each side's part within the other's box."""
+    w, h = _common_sides(a, b)
+    out = np.zeros(len(w))
+    for side in (b.low_y, b.high_y):
+        out += np.where((side >= a.low_y - eps) & (side <= a.high_y + eps), w, 0.0)
+    for side in (b.low_x, b.high_x):
+        out += np.where((side >= a.low_x - eps) & (side <= a.high_x + eps), h, 0.0)
+    for k in np.flatnonzero(~(a.box & b.box)).tolist():
+        out[k] = covered_length(a.ring(k), b.ring(k)) if a.full[k] and b.full[k] else 0.0
+    return out
+
+
 def contains(ring, x: float, y: float, border: bool = False, eps: float = 1e-9) -> bool:
     """Whether a point lies strictly inside, or with border also on the line."""
     odd = False
@@ -139,6 +198,50 @@ def cycle_basis(edges: list[tuple[float, float, float, float]]) -> list[list[Poi
     return out
 
 
+def is_simple(ring) -> bool:
+    """Whether a ring's line neither touches nor crosses itself."""
+    n = len(ring)
+    if n < 3 or len(set(ring)) < n:
+        return False
+    sides = [(*ring[k], *ring[(k + 1) % n]) for k in range(n)]
+    for i in range(n):
+        for j in range(i + 1, n):
+            met = meeting_points(sides[i], sides[j])
+            near = j == i + 1 or (i == 0 and j == n - 1)
+            if not near and met:
+                return False
+            if near and len(set(met)) > 1:  # one side runs back along the other
+                return False
+    return True
+
+
+def chains(edges: list[tuple[float, float, float, float]]) -> list[list[Point]]:
+    """Lines made of edges that are joined at every point where exactly two meet, in the order of their first points."""
+    around: dict[Point, list[Point]] = defaultdict(list)
+    for ax, ay, bx, by in sorted(set(edges)):
+        around[ax, ay].append((bx, by))
+        around[bx, by].append((ax, ay))
+    used: set[frozenset] = set()
+    out = []
+
+    def walk(begin: Point, to: Point) -> list[Point]:
+        line = [begin]
+        while frozenset((line[-1], to)) not in used:
+            used.add(frozenset((line[-1], to)))
+            line.append(to)
+            if len(around[to]) != 2:
+                break
+            to = next((p for p in around[to] if p != line[-2]), line[-2])
+        return line
+
+    points = sorted(around)
+    for point in [p for p in points if len(around[p]) != 2] + points:
+        for to in sorted(around[point]):
+            if frozenset((point, to)) not in used:
+                out.append(walk(point, to))
+    return out
+
+
 def hull(ring) -> list[Point]:
     """Counter-clockwise convex hull."""
     points = sorted({(float(x), float(y)) for x, y in ring})
@@ -330,6 +433,70 @@ def node(segments: list[tuple[float, float, float, float]], digits: int = 9) ->
     return sorted(out)
 
 
+def node_many(owner: np.ndarray, s: np.ndarray, digits: int = 9, pairs_at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """node() for the segments (x0, y0, x1, y1) of many drawings at once, sorted by owner: owners and edges, sorted likewise."""
+    n = len(s)
+    end = np.searchsorted(owner, owner, "right")
+    low, high = np.minimum(s[:, :2], s[:, 2:]), np.maximum(s[:, :2], s[:, 2:])
+    count = end - np.arange(n) - 1
+    total = np.cumsum(count)
+    seg, px, py = [np.arange(n), np.arange(n)], [s[:, 0], s[:, 2]], [s[:, 1], s[:, 3]]
+    at = 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + pairs_at_once, "right")))
+        own = count[at:stop]
+        i = np.repeat(np.arange(at, stop), own)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + i + 1
+        near = ((low[j] <= high[i] + 1e-9) & (high[j] >= low[i] - 1e-9)).all(axis=1)
+        i, j = i[near], j[near]
+        which, x, y = _meetings(s[i], s[j])
+        for k in (i, j):
+            seg.append(k[which])
+            px.append(x)
+            py.append(y)
+        at = stop
+    seg, x, y = np.concatenate(seg), np.round(np.concatenate(px), digits) + 0.0, np.round(np.concatenate(py), digits) + 0.0
+    t = (x - s[seg, 0]) * (s[seg, 2] - s[seg, 0]) + (y - s[seg, 1]) * (s[seg, 3] - s[seg, 1])
+    order = np.lexsort((y, x, t, seg))
+    seg, x, y = seg[order], x[order], y[order]
+    follows = (seg[1:] == seg[:-1]) & ((x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    a, b = np.flatnonzero(follows), np.flatnonzero(follows) + 1
+    first = (x[a] < x[b]) | ((x[a] == x[b]) & (y[a] < y[b]))
+    a, b = np.where(first, a, b), np.where(first, b, a)
+    edges, who = np.stack([x[a], y[a], x[b], y[b]], axis=1), owner[seg[a]]
+    order = np.lexsort((edges[:, 3], edges[:, 2], edges[:, 1], edges[:, 0], who))
+    edges, who = edges[order], who[order]
+    fresh = np.ones(len(who), bool)
+    fresh[1:] = (who[1:] != who[:-1]) | (edges[1:] != edges[:-1]).any(axis=1)
+    return who[fresh], edges[fresh]
+
+
+def _meetings(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """meeting_points of pairs of segments: number of the pair, x, y of each point."""
+    which, xs, ys = [], [], []
+    touched = np.zeros(len(a), bool)
+    for s, t in ((a, b), (b, a)):
+        dx, dy = s[:, 2] - s[:, 0], s[:, 3] - s[:, 1]
+        size = np.hypot(dx, dy)
+        for x, y in ((t[:, 0], t[:, 1]), (t[:, 2], t[:, 3])):
+            along = (x - s[:, 0]) * dx + (y - s[:, 1]) * dy
+            on = (np.abs(dx * (y - s[:, 1]) - dy * (x - s[:, 0])) <= eps * size) & (along >= -eps * size) & (along <= size * (size + eps))
+            which.append(np.flatnonzero(on))
+            xs.append(x[on])
+            ys.append(y[on])
+            touched |= on
+    dx, dy, ex, ey = a[:, 2] - a[:, 0], a[:, 3] - a[:, 1], b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
+    cross = dx * ey - dy * ex
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((b[:, 0] - a[:, 0]) * ey - (b[:, 1] - a[:, 1]) * ex) / cross
+        u = ((b[:, 0] - a[:, 0]) * dy - (b[:, 1] - a[:, 1]) * dx) / cross
+        proper = ~touched & (cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+    which.append(np.flatnonzero(proper))
+    xs.append((a[:, 0] + t * dx)[proper])
+    ys.append((a[:, 1] + t * dy)[proper])
+    return np.concatenate(which), np.concatenate(xs), np.concatenate(ys)
+
+
 def meeting_points(a: tuple[float, float, float, float], b: tuple[float, float, float, float], eps: float = 1e-9) -> list[Point]:
     """Points where two segments meet: ends of one on the other, and a proper crossing."""
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import shapes
 from . import kernel
-from .drawings import fold, map_rows
+from .drawings import fold, map_columns
+from .spatial import box_pairs
+from .tables import written
 
 STRONG, PARTIAL, BLOCKED = 0.70, 0.25, 0.10
 
@@ -18,14 +21,14 @@ def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.select("drawing_id", F.struct(F.col("no"), "ring", shapes.bounds(F.col("ring")).alias("box")).alias("a"))
     b = right.select("drawing_id", F.struct(F.col("no"), "ring", shapes.bounds(F.col("ring")).alias("box")).alias("b"))
     meet = (F.col("a.box.x0") < F.col("b.box.x1")) & (F.col("b.box.x0") < F.col("a.box.x1")) & (F.col("a.box.y0") < F.col("b.box.y1")) & (F.col("b.box.y0") < F.col("a.box.y1"))
-    pairs = a.join(b, "drawing_id").where(meet).select("drawing_id", F.col("a.no").alias("left_no"), F.col("b.no").alias("right_no"), F.col("a.ring").alias("p"), F.col("b.ring").alias("q"))
+    pairs = box_pairs(a, b).where(meet).select("drawing_id", F.col("a.no").alias("left_no"), F.col("b.no").alias("right_no"), F.col("a.ring").alias("p"), F.col("b.ring").alias("q"))
 
-    def measure(row: dict) -> tuple[float]:
-        p, q = ([(v["x"], v["y"]) for v in row[c]] for c in "pq")
-        common = kernel.common_area(p, q)
-        return (common / max(abs(kernel.ring_area(p)) + abs(kernel.ring_area(q)) - common, 1e-12),)
+    def measure(batch) -> list:
+        p, q = kernel.Rings(batch.column("p")), kernel.Rings(batch.column("q"))
+        common = kernel.common_areas(p, q)
+        return [common / np.maximum(np.abs(p.area) + np.abs(q.area) - common, 1e-12)]
 
-    return map_rows(pairs, measure, "iou double", ["drawing_id", "left_no", "right_no"]).where("iou > 0")
+    return map_columns(pairs, measure, "iou double", ["drawing_id", "left_no", "right_no"]).where("iou > 0")
 
 
 def greedy_matches(pairs: DataFrame, least: float = PARTIAL) -> DataFrame:
@@ -50,8 +53,8 @@ def fuse(vector: DataFrame, raster: DataFrame) -> DataFrame:
     Matched vector rooms come first, in the order of matching, then the other vector rooms, then raster rooms that overlap no
     accepted room by more than BLOCKED (they are not compared with each other). Columns: drawing_id, no, ring.
     """
-    pairs = overlaps(vector, raster)
-    matched = greedy_matches(pairs)
+    pairs = written(overlaps(vector, raster), "overlaps")
+    matched = written(greedy_matches(pairs), "matches")
     first = matched.select(
         "drawing_id", F.struct(F.lit(0), F.col("rank")).alias("_o"), F.col("left_no").alias("vector_no"), F.lit(None).cast("long").alias("raster_no"), F.lit("vector").alias("source"),
         (F.col("iou") >= STRONG).alias("raster_confirmed"), (F.col("iou") < STRONG).alias("raster_partial"), F.col("iou").alias("iou_score"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shapes import RING
@@ -47,26 +47,28 @@ def closed(image: np.ndarray, times: int = 2) -> np.ndarray:
 def labelled(free: np.ndarray) -> np.ndarray:
     """Numbers of 4-connected areas, from 1; 0 elsewhere. Runs of each row are joined with those of the row above."""
     height, width = free.shape
-    out = np.zeros(free.shape, np.int64)
-    parent = [0]
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for y in range(height):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], free[y].astype(np.int8), [0]])))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            above = {root(k) for k in set(out[y - 1, a:b].tolist()) - {0}} if y else set()
-            own = min(above) if above else len(parent)
-            if not above:
-                parent.append(own)
-            for k in above:
-                parent[k] = own
-            out[y, a:b] = own
-    return np.array([root(k) for k in range(len(parent))])[out]
+    flat = np.zeros((height, width + 1), np.int8)
+    flat[:, :width] = free
+    step = np.diff(flat.ravel(), prepend=0)
+    begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    parent = np.arange(len(begin))
+    above_from, above_to = np.searchsorted(end, begin - width - 1, "right"), np.searchsorted(begin, end - width - 1, "left")
+    count = np.maximum(above_to - above_from, 0)
+    low = np.repeat(np.arange(len(begin)), count)
+    high = np.arange(len(low)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(above_from, count)
+    while len(low):  # the smaller number of each pair of touching runs spreads until all agree
+        a, b = parent[low], parent[high]
+        differ = a != b
+        if not differ.any():
+            break
+        low, high, a, b = low[differ], high[differ], a[differ], b[differ]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(jump := parent[parent], parent):
+            parent = jump
+    out = np.zeros(height * (width + 1), np.int64)
+    out[begin] = parent + 1
+    out[end] -= parent + 1
+    return np.cumsum(out).reshape(height, width + 1)[:, :width]
 
 
 def outline(area: np.ndarray) -> list[tuple[int, int]]:
@@ -152,13 +154,14 @@ def picture_rooms(segments: list[tuple[float, float, float, float]], longest: in
     return out
 
 
-def raster_rooms(segments: DataFrame, longest: int = 1024, stroke: int = 2, least_sqft: float = 8.0, sqft: float = 10.7639, pad: bool = False) -> DataFrame:
-    """drawing_id, raster_no, ring, area_raw from all segments of each drawing."""
-    least = least_sqft / max(sqft, 1e-9)
+def raster_rooms(segments: DataFrame, longest: int = 1024, stroke: int = 2, least_sqft: float = 8.0, sqft: Column | float = 10.7639, pad: bool = False) -> DataFrame:
+    """drawing_id, raster_no, ring, area_raw from all segments of each drawing. sqft: a number, or a column of segments."""
+    factor = F.lit(sqft) if isinstance(sqft, (int, float)) else sqft
+    least = (F.lit(least_sqft) / F.greatest(factor, F.lit(1e-9))).alias("least")
 
     def trace(d: dict):
         lines = [(s["sx"], s["sy"], s["ex"], s["ey"]) for s in d["segments"]]
-        for k, (ring, area) in enumerate(picture_rooms(lines, longest, stroke, least, pad)):
+        for k, (ring, area) in enumerate(picture_rooms(lines, longest, stroke, d["segments"][0]["least"], pad)):
             yield k + 1, [{"x": x, "y": y} for x, y in ring], area
 
-    return fold(("segments", segments.select("drawing_id", *map(F.col, ("sx", "sy", "ex", "ey")))), {}, trace, ROOM)
+    return fold(("segments", segments.select("drawing_id", *map(F.col, ("sx", "sy", "ex", "ey")), least)), {}, trace, ROOM)

@@ -6,14 +6,18 @@ and centroid.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import shapes
 from . import kernel
-from .drawings import fold, map_rows
+from .drawings import fold, fold_arrays, map_columns, ring_array
 from .noding import node_edges
+from .spatial import box_pairs
 from .tables import written
 
 #: Segments of a drawing that one fold cuts at each other; the pairs to compare grow with the square.
@@ -21,20 +25,40 @@ SMALL = 2_000
 FACE = f"ring {shapes.RING}, area_raw double"
 
 
-def _as_ring(points) -> list[dict]:
-    """From the smallest point on."""
-    k = min(range(len(points)), key=lambda i: points[i])
-    return [{"x": x, "y": y} for x, y in points[k:] + points[:k]]
+def _from_smallest(points: list) -> list:
+    """A ring from its smallest point on."""
+    k = min(range(len(points)), key=points.__getitem__)
+    return points[k:] + points[:k]
+
+
+def _as_ring(points: list) -> list[dict]:
+    return [{"x": x, "y": y} for x, y in _from_smallest(points)]
 
 
 def faces(edges: DataFrame) -> DataFrame:
     """drawing_id, ring, area_raw of the bounded faces of noded edges (ax, ay, bx, by)."""
 
-    def trace(drawing: dict):
-        for ring, area in kernel.faces([(e["ax"], e["ay"], e["bx"], e["by"]) for e in drawing["edges"]]):
-            yield _as_ring(ring), area
+    def trace(owner: np.ndarray, columns: dict) -> tuple:
+        return _traced(owner, np.stack([columns[c] for c in ("ax", "ay", "bx", "by")], axis=1))
+
+    return fold_arrays(edges.select("drawing_id", "ax", "ay", "bx", "by"), trace, FACE)
+
+
+def _traced(owner: np.ndarray, edges: np.ndarray) -> tuple:
+    """Owners, rings and areas of the faces of many drawings' edges, which are sorted by owner."""
+    who, rings, areas = [], [], []
+    for own, a, b in _groups(owner):
+        for ring, area in kernel.faces(edges[a:b].tolist()):
+            who.append(own)
+            rings.append(_from_smallest(ring))
+            areas.append(area)
+    return who, ring_array(rings), areas
 
-    return fold(("edges", edges.select("drawing_id", "ax", "ay", "bx", "by")), {}, trace, FACE)
+
+def _groups(owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        yield int(owner[a]), a, b
 
 
 def noded_faces(segments: DataFrame, small: int = SMALL) -> DataFrame:
@@ -44,15 +68,14 @@ def noded_faces(segments: DataFrame, small: int = SMALL) -> DataFrame:
     which spreads a giant drawing over many tasks, and only the tracing is a fold.
     """
 
-    def trace(drawing: dict):
-        edges = kernel.node([(s["sx"], s["sy"], s["ex"], s["ey"]) for s in drawing["segments"]])
-        for ring, area in kernel.faces(edges):
-            yield _as_ring(ring), area
+    def trace(owner: np.ndarray, columns: dict) -> tuple:
+        who, edges = kernel.node_many(owner, np.stack([columns[c] for c in ("sx", "sy", "ex", "ey")], axis=1))
+        return _traced(who, edges)
 
     lines = written(segments.select("drawing_id", "sx", "sy", "ex", "ey").distinct(), "lines")
     sizes = lines.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > small).select("drawing_id")
-    inner = fold(("segments", lines.join(large, "drawing_id", "left_anti")), {}, trace, FACE)
+    inner = fold_arrays(lines.join(large, "drawing_id", "left_anti"), trace, FACE)
     return inner.unionByName(faces(node_edges(lines.join(large, "drawing_id", "left_semi"))))
 
 
@@ -61,7 +84,7 @@ def cycles(edges: DataFrame) -> DataFrame:
 
     def trace(drawing: dict):
         for ring in kernel.cycle_basis([(e["ax"], e["ay"], e["bx"], e["by"]) for e in drawing["edges"]]):
-            if len(ring) > 2 and (area := kernel.ring_area(ring)):
+            if len(ring) > 2 and (area := kernel.ring_area(ring)) and kernel.is_simple(ring):
                 yield _as_ring(ring if area > 0 else ring[::-1]), abs(area)
 
     return fold(("edges", edges.select("drawing_id", "ax", "ay", "bx", "by")), {}, trace, FACE)
@@ -75,6 +98,18 @@ def with_cycle_fallback(found: DataFrame, edges: DataFrame, fewer_than: int = 2)
     return found.unionByName(more.join(found.select("drawing_id", "ring"), ["drawing_id", "ring"], "left_anti"))
 
 
+def faces_or_cycles(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """The older engine's choice: the cycles of its edges for drawings without any face; from_cycles tells them."""
+    none = edges.join(found.select("drawing_id"), "drawing_id", "left_anti")
+    return found.withColumn("from_cycles", F.lit(False)).unionByName(cycles(none).withColumn("from_cycles", F.lit(True)))
+
+
+def cycles_without_containers(rooms: DataFrame) -> DataFrame:
+    """Numbered rooms without those from cycles that contain the centre of another one; faces cannot and stay. Drops from_cycles."""
+    cyclic = without_containers(rooms.where("from_cycles"))
+    return rooms.where("not from_cycles").unionByName(cyclic.select(*rooms.columns)).drop("from_cycles")
+
+
 def sized(rooms: DataFrame, sqft: Column | float = 10.7639) -> DataFrame:
     """Adds area_sqft, perimeter, cx, cy."""
     centre = shapes.centroid(F.col("ring"))
@@ -86,14 +121,18 @@ def sized(rooms: DataFrame, sqft: Column | float = 10.7639) -> DataFrame:
 def with_shape(rooms: DataFrame) -> DataFrame:
     """Adds aspect (of the smallest rotated rectangle), compactness and convexity (area by hull area)."""
 
-    def measure(row: dict) -> tuple:
-        ring = [(p["x"], p["y"]) for p in row["ring"]]
-        long, short = kernel.rotated_sides(ring)
-        hull = kernel.hull(ring)
-        full = kernel.ring_area(hull) if len(hull) > 2 else 0.0
-        return long / max(short, 1e-9), (1.0 if full < 1e-9 else min(1.0, row["area_raw"] / full))
-
-    out = map_rows(rooms, measure, "aspect double, convexity double", rooms.columns)
+    def measure(batch) -> list:
+        rings, area = kernel.Rings(batch.column("ring")), batch.column("area_raw").to_numpy(zero_copy_only=False)
+        long, short = np.maximum(rings.width, rings.height), np.minimum(rings.width, rings.height)
+        full = rings.width * rings.height
+        for k in np.flatnonzero(~rings.box).tolist():
+            ring = rings.ring(k)
+            long[k], short[k] = kernel.rotated_sides(ring)
+            hull = kernel.hull(ring)
+            full[k] = kernel.ring_area(hull) if len(hull) > 2 else 0.0
+        return [long / np.maximum(short, 1e-9), np.where(full < 1e-9, 1.0, np.minimum(1.0, area / np.maximum(full, 1e-9)))]
+
+    out = map_columns(rooms, measure, "aspect double, convexity double", rooms.columns)
     return out.withColumn("compactness", shapes.compactness(F.col("area_raw"), shapes.perimeter(F.col("ring"))))
 
 
@@ -118,9 +157,7 @@ def numbered(rooms: DataFrame) -> DataFrame:
 def _box_pairs(rooms: DataFrame, condition: Column) -> DataFrame:
     """Ordered pairs a, b of different rooms of a drawing whose bounding boxes meet and for which the condition holds."""
     boxed = rooms.select("drawing_id", F.struct("room_no", "ring", "area_raw", shapes.bounds(F.col("ring")).alias("box")).alias("a"))
-    other = boxed.withColumnRenamed("a", "b")
-    meet = (F.col("a.box.x0") <= F.col("b.box.x1")) & (F.col("b.box.x0") <= F.col("a.box.x1")) & (F.col("a.box.y0") <= F.col("b.box.y1")) & (F.col("b.box.y0") <= F.col("a.box.y1"))
-    return boxed.join(other, "drawing_id").where((F.col("a.room_no") != F.col("b.room_no")) & meet & condition)
+    return box_pairs(boxed, boxed.withColumnRenamed("a", "b")).where((F.col("a.room_no") != F.col("b.room_no")) & condition)
 
 
 def _inside_of(a: Column, b: Column) -> Column:

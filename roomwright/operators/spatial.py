@@ -36,6 +36,34 @@ def points_near_rooms(points: DataFrame, rooms: DataFrame, reach: Column, test,
     return placed.join(dealt, ["drawing_id", "_i", "_j"]).where(near & test(F.col("ring"), x, y, r)).select(*[F.col(c) for c in points.columns], "room_no")
 
 
+def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows of two tables (drawing_id, a) and (drawing_id, b), structs with a field box, of the same drawing whose boxes
+    meet, once each: drawing_id, a, b.
+
+    The left boxes' extent is cut into cells, more of them the more boxes a drawing has (one for up to 15); boxes go to all
+    cells that they touch (clamped to the extent), and a pair counts in the cell of the larger low corner only. So work grows
+    with the pairs that are near each other, and a giant drawing spreads over its cells.
+    """
+    size = F.greatest(F.max("a.box.x1") - F.min("a.box.x0"), F.max("a.box.y1") - F.min("a.box.y0"), F.lit(1e-9))
+    grid = F.least(F.lit(512), F.greatest(F.lit(1), F.floor(F.sqrt(F.count(F.lit(1)) / 4))))
+    frame = left.groupBy("drawing_id").agg(F.min("a.box.x0").alias("_x0"), F.min("a.box.y0").alias("_y0"), size.alias("_size"), grid.alias("_grid"))
+
+    def cell(v: Column, origin: str) -> Column:
+        return F.greatest(F.lit(0), F.least(F.col("_grid") - 1, F.floor((v - F.col(origin)) / F.col("_size") * F.col("_grid"))))
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        low = {f"_{name}{k}": cell(F.col(f"{name}.box.{k}0"), f"_{k}0") for k in "xy"}
+        high = [F.sequence(F.col(f"_{name}{k}"), cell(F.col(f"{name}.box.{k}1"), f"_{k}0")) for k in "xy"]
+        placed = rows.join(frame, "drawing_id").withColumns(low).withColumn("_i", F.explode(high[0])).withColumn("_j", F.explode(high[1]))
+        return placed.select("drawing_id", "_i", "_j", name, *low)
+
+    meet = F.lit(True)
+    for k in "xy":
+        meet &= (F.col(f"a.box.{k}0") <= F.col(f"b.box.{k}1")) & (F.col(f"b.box.{k}0") <= F.col(f"a.box.{k}1"))
+    once = (F.col("_i") == F.greatest("_ax", "_bx")) & (F.col("_j") == F.greatest("_ay", "_by"))
+    return dealt(left, "a").join(dealt(right, "b"), ["drawing_id", "_i", "_j"]).where(once & meet).select("drawing_id", "a", "b")
+
+
 def points_in_rooms(points: DataFrame, rooms: DataFrame) -> DataFrame:
     """Points strictly inside rooms."""
     return points_near_rooms(points, rooms, F.lit(0.0), lambda ring, x, y, _: shapes.inside(ring, x, y))

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once as Parquet into the shared folder of spark.checkpoint.dir (or a folder of this session where that is
-    unset, as in tests) and reads it back: later stages plan from there, and any executor can read it."""
+    """Writes df once as Parquet into the shared folder of spark.checkpoint.dir and reads it back: later stages plan from there,
+    and any executor can read it. Where that is unset, one machine (as in tests) takes a folder of the session, and a cluster
+    raises."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="roomwright-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import answers, drawing, scoring, shapes, text, units
-from ..operators import adjacency, blocks, classify, doors, enrich, layers, matching, merge, noding, rooms, texts
+from ..operators import adjacency, blocks, classify, doors, enrich, layers, matching, merge, noding, reports, rooms, texts
 from ..operators.tables import written
 from . import sqltext as S
 from .fixtures import CTES, Drawings
@@ -198,7 +198,17 @@ def endpoint_unique(d: Drawings) -> DataFrame:
     return noding.endpoints(wall_lines(d))
 
 
-@query("gap_bridges", "SELECT a.drawing_id,a.x sx,a.y sy,b.x ex,b.y ey FROM ends a JOIN ends b ON a.drawing_id=b.drawing_id AND (a.x<b.x OR (a.x=b.x AND a.y<b.y)) WHERE sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) BETWEEN 0.7 AND 1.1", _ends)
+_gap_cells = _ends + """,
+placed AS MATERIALIZED (SELECT drawing_id,x,y,CAST(floor(x/1.1::DOUBLE) AS BIGINT) AS i,CAST(floor(y/1.1::DOUBLE) AS BIGINT) AS j FROM ends),
+near AS MATERIALIZED (SELECT drawing_id,x,y,i+di AS i,j+dj AS j FROM placed,(SELECT unnest([-1,0,1]) AS di),(SELECT unnest([-1,0,1]) AS dj))"""
+
+
+@query(
+    "gap_bridges",
+    """SELECT a.drawing_id,a.x AS sx,a.y AS sy,b.x AS ex,b.y AS ey FROM near a JOIN placed b ON a.drawing_id=b.drawing_id AND a.i=b.i AND a.j=b.j
+WHERE (a.x<b.x OR (a.x=b.x AND a.y<b.y)) AND sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) BETWEEN 0.7 AND 1.1""",
+    _gap_cells,
+)
 def gap_bridges(d: Drawings) -> DataFrame:
     return noding.gap_bridges(wall_lines(d))
 
@@ -546,7 +556,7 @@ FROM (SELECT *,CASE WHEN nc>0 THEN cd ELSE '' END AS nl FROM (SELECT t.*,{S.near
 @query("classify_v2", "SELECT drawing_id,room_no,label,confidence,method FROM steps WHERE room_no>0", _classified)
 def classify_v2(d: Drawings) -> DataFrame:
     table = strip_rooms(d)
-    return classify.classify_rooms(table, adjacency.both_ways(adjacency.shared_walls(room_table(d))))
+    return classify.classify_rooms(table, adjacency.both_ways(adjacency.shared_walls(table)))
 
 
 @query("needs_vision", "SELECT drawing_id,l_partkey,l_suppkey FROM fp_feature WHERE l_partkey%3<>0 AND compactness<0.75")
@@ -559,7 +569,7 @@ def needs_vision(d: Drawings) -> DataFrame:
 def apply_vision(d: Drawings) -> DataFrame:
     """Rooms whose number is divisible by three are seen as halls and classified again on top of the first names."""
     table = strip_rooms(d)
-    links = adjacency.both_ways(adjacency.shared_walls(room_table(d)))
+    links = written(adjacency.both_ways(adjacency.shared_walls(table)), "strip-links")
     first = classify.classify_rooms(table, links)
     vision = table.where(F.col("room_no") % 3 == 0).select("drawing_id", "room_no", F.lit("Hall").alias("room_type"), F.lit(0.9).alias("confidence"))
     again = table.drop("name").join(first.select("drawing_id", "room_no", F.col("label").alias("name")), ["drawing_id", "room_no"])
@@ -788,26 +798,18 @@ want AS (SELECT drawing_id,unnest(['living hall','kitchenette','w.c.']) AS label
 prec AS (SELECT p.drawing_id,count(w.label)/count(*)::DOUBLE AS precision FROM pred p LEFT JOIN want w USING (drawing_id,label) GROUP BY ALL)"""
 
 
-def precision(predicted: DataFrame, expected: DataFrame) -> DataFrame:
-    """drawing_id, precision: the share of a drawing's distinct predicted labels (drawing_id, label) that were expected."""
-    own = predicted.select("drawing_id", text.plain_label(F.col("label")).alias("label")).distinct()
-    want = expected.select("drawing_id", text.plain_label(F.col("label")).alias("label"), F.lit(1).alias("hit")).distinct()
-    return own.join(want, ["drawing_id", "label"], "left").groupBy("drawing_id").agg((F.count("hit") / F.count(F.lit(1))).alias("precision"))
-
-
 def _expected(d: Drawings) -> DataFrame:
     return d.cell.select("drawing_id").distinct().select("drawing_id", F.explode(F.array(*map(F.lit, ("Living  Hall", "kitchenette", "W.C.")))).alias("label"))
 
 
 @query("precision_metric", "SELECT * FROM prec", _scored)
 def precision_metric(d: Drawings) -> DataFrame:
-    return precision(d.text.select("drawing_id", F.col("text").alias("label")), _expected(d))
+    return reports.precision(d.text.select("drawing_id", F.col("text").alias("label")), _expected(d))
 
 
 @query("unknown_labels", f"SELECT DISTINCT label FROM pred WHERE label NOT IN ({','.join(S.lit(t.lower()) for t in K.ROOM_TYPES)})", _scored)
 def unknown_labels(d: Drawings) -> DataFrame:
-    known = d.spark.createDataFrame([(t.lower(),) for t in K.ROOM_TYPES], "label string")
-    return d.text.select(text.plain_label(F.col("text")).alias("label")).exceptAll(known).distinct().join(known, "label", "left_anti")
+    return reports.unknown_labels(d.text.select(F.col("text").alias("label")))
 
 
 _bench = ",\nbench AS (SELECT drawing_id,count(*) AS segments,count(*)*0.25::DOUBLE AS total_sec FROM fp_segment GROUP BY ALL)"
@@ -835,4 +837,4 @@ def room_name_summary(d: Drawings) -> DataFrame:
     return room_table(d).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("rooms"), F.slice(F.transform(named, lambda r: r["name"]), 1, 8).alias("first_names"))
 
 
-from . import whole  # noqa: E402, F401  registers the queries of whole engines, sources and sinks
+from . import more, whole  # noqa: E402, F401  register the queries of whole engines, sources, sinks, and of single rules

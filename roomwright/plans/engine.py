@@ -20,7 +20,8 @@ from ..sources import dxf
 @dataclass
 class Drawing:
     """A corpus of drawings as tables. segments: drawing_id, sx, sy, ex, ey, layer; texts: text_no, text, x, y; doors: door_no,
-    cx, cy, radius, source, layer; blocks: block_no, name, x, y. metres, sqft: factors per drawing unit."""
+    cx, cy, radius, source, layer; blocks: block_no, name, x, y. metres, sqft: factors per drawing unit, for all drawings or, with
+    scales (drawing_id, metres, sqft), for those that it lacks."""
 
     segments: DataFrame
     texts: DataFrame
@@ -28,35 +29,45 @@ class Drawing:
     blocks: DataFrame
     metres: float = 1.0
     sqft: float = 10.7639
+    scales: DataFrame | None = None
+
+    def scaled(self, rows: DataFrame) -> DataFrame:
+        """Rows with the factors of their drawings, as columns metres and sqft."""
+        if self.scales is None:
+            return rows.withColumns({"metres": F.lit(self.metres), "sqft": F.lit(self.sqft)})
+        found = rows.join(self.scales.select("drawing_id", "metres", "sqft"), "drawing_id", "left")
+        return found.withColumns({"metres": F.coalesce("metres", F.lit(self.metres)), "sqft": F.coalesce("sqft", F.lit(self.sqft))})
 
 
 def from_dxf(table: DataFrame, every_instance: bool = False) -> Drawing:
-    """The tables of an entity table, for the current engine or, with every_instance, for the older one. All its drawings are
-    taken to be in the units of its first row."""
+    """The tables of an entity table, for the current engine or, with every_instance, for the older one. Each drawing has the
+    units of its own file. The table is written once, so that files are not parsed again for every reader."""
+    table = written(table, "entities")
     flat = dxf.expand(table, every_instance)
-    head = table.select(units.metres_per_unit(F.col("units")).alias("m"), (units.sqft_per_unit_v1 if every_instance else units.sqft_per_unit)(F.col("units")).alias("s")).limit(1).collect()
-    m, s = (head[0].m, head[0].s) if head else (1.0, 10.7639)
+    area = units.sqft_per_unit_v1 if every_instance else units.sqft_per_unit
+    code = table.groupBy("drawing_id").agg(F.max("units").alias("units"))
+    scales = written(code.select("drawing_id", units.metres_per_unit(F.col("units")).alias("metres"), area(F.col("units")).alias("sqft")), "scales")
     if every_instance:
-        return Drawing(dxf.segments_v1(flat), dxf.texts_v1(flat), dxf.doors_v1(flat), dxf.blocks_v1(flat), m, s)
-    return Drawing(dxf.segments(flat), dxf.texts(flat), dxf.doors(flat), dxf.blocks(flat), m, s)
+        return Drawing(dxf.segments_v1(flat), dxf.texts_v1(flat), dxf.doors_v1(flat), dxf.blocks_v1(flat), scales=scales)
+    return Drawing(dxf.segments(flat), dxf.texts(flat), dxf.doors(flat), dxf.blocks(flat), scales=scales)
 
 
 def vector_rooms(d: Drawing, least_sqft: float = 8.0) -> DataFrame:
     """Rooms of the wall graph: gaps bridged, walls noded, faces filtered, numbered by area, with area_sqft, centre and shape."""
     walls = layers.wall_layers(layers.layer_counts(d.segments))
     lines = layers.at_least(layers.wall_segments(d.segments, walls), 1e-6, strict=True)
-    found = written(rooms.noded_faces(noding.with_bridges(lines, metres=d.metres)), "faces")
-    found = rooms.with_cycle_fallback(found, noding.graph_edges(lines, 4))
-    found = written(rooms.numbered(rooms.without_outer(rooms.large_enough(found, least_sqft, d.sqft))), "candidates")
-    found = rooms.with_shape(rooms.sized(rooms.without_nested(found), d.sqft))
+    found = written(rooms.noded_faces(noding.with_bridges(d.scaled(lines), metres=F.col("metres"))), "faces")
+    found = d.scaled(rooms.with_cycle_fallback(found, noding.graph_edges(lines, 4))).drop("metres")
+    found = written(rooms.numbered(rooms.without_outer(rooms.large_enough(found, least_sqft, F.col("sqft")))), "candidates")
+    found = rooms.with_shape(rooms.sized(rooms.without_nested(found), F.col("sqft"))).drop("sqft")
     return written(rooms.numbered(rooms.without_thin(found)), "rooms")
 
 
-def fused_rooms(vector: DataFrame, seen: DataFrame, sqft: float) -> DataFrame:
-    """Vector rooms confirmed by rooms from the picture, and picture rooms that no vector room covers; numbered anew."""
+def fused_rooms(vector: DataFrame, seen: DataFrame) -> DataFrame:
+    """Vector rooms confirmed by rooms from the picture (with sqft), and picture rooms that no vector room covers; numbered anew."""
     fused = matching.fuse(vector.select("drawing_id", F.col("room_no").alias("no"), "ring"), seen.select("drawing_id", F.col("raster_no").alias("no"), "ring"))
     kept = fused.where("vector_no is not null").join(vector.withColumnRenamed("room_no", "vector_no"), ["drawing_id", "vector_no"])
-    extra = rooms.with_shape(rooms.sized(seen, sqft)).withColumn("name", F.lit("")).withColumnRenamed("raster_no", "_r")
+    extra = rooms.with_shape(rooms.sized(seen, F.col("sqft"))).drop("metres", "sqft").withColumn("name", F.lit("")).withColumnRenamed("raster_no", "_r")
     added = fused.where("raster_no is not null").join(extra, (fused.drawing_id == extra.drawing_id) & (fused.raster_no == extra._r)).drop(extra.drawing_id).drop("_r")
     both = kept.unionByName(added, allowMissingColumns=True)
     return both.withColumnRenamed("position", "room_no").drop("vector_no", "raster_no")
@@ -70,7 +81,8 @@ def run_pipeline(d: Drawing, least_sqft: float = 8.0, use_raster: bool = True, r
     """
     table = vector_rooms(d, least_sqft)
     if use_raster:
-        table = written(fused_rooms(table, written(raster.raster_rooms(d.segments, raster_size, sqft=d.sqft), "raster"), d.sqft), "fused")
+        seen = raster.raster_rooms(d.scaled(d.segments), raster_size, sqft=F.col("sqft"))
+        table = written(fused_rooms(table, written(d.scaled(seen), "raster")), "fused")
     links = written(doors.door_rooms(d.doors, table), "door-rooms")
     placed = blocks.blocks_in_rooms(d.blocks, table)
     for more in (doors.door_counts(links, table), blocks.furniture(placed), blocks.block_votes(placed)):
@@ -100,9 +112,12 @@ def run_pipeline_v1(d: Drawing, vision: DataFrame | None = None) -> dict[str, Da
     walls = layers.wall_layers_v1(layers.layer_counts(d.segments))
     lines = layers.at_least(layers.wall_segments_v1(d.segments, walls), 0.005)
     edges = noding.snapped_edges(noding.node_edges(lines))
-    found = rooms.without_outer(rooms.large_enough(rooms.faces(edges), 10.0, d.sqft), 1.8)
+    edges = written(edges, "edges")
+    found = rooms.faces_or_cycles(written(rooms.faces(edges), "faces"), edges)
+    found = rooms.without_outer(rooms.large_enough(d.scaled(found), 10.0, F.col("sqft")), 1.8).drop("metres", "sqft")
+    found = rooms.cycles_without_containers(written(rooms.numbered(found), "candidates"))
     merged = written(merge.merge_rooms(rooms.numbered(found)).withColumnRenamed("part", "room_no"), "merged")
-    table = rooms.with_shape(rooms.sized(merged, d.sqft)).withColumn("name", F.concat(F.lit("Room "), F.col("room_no").cast("string")))
+    table = rooms.with_shape(rooms.sized(d.scaled(merged), F.col("sqft"))).drop("metres", "sqft").withColumn("name", F.concat(F.lit("Room "), F.col("room_no").cast("string")))
     links = written(doors.door_rooms(d.doors, table, 1.0, inside_counts=False), "door-rooms")
     table = table.join(doors.door_counts(links, table), ["drawing_id", "room_no"], "left")
     table = classify.geometry_names_v1(texts.named(table, texts.assign_texts(table, d.texts)))

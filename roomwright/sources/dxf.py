@@ -1,14 +1,19 @@
 """Drawing exchange files (text form): group codes to an entity table, and segments, doors, texts and blocks from it.
 
 The entity table has one row per entity: drawing_id, block (null in model space), entity_no (order in the file), etype, layer,
-pts, radius, start_deg, end_deg, closed, text, name, rotation, xscale, yscale, attribs, units. Insertions are expanded per
-drawing by a fold; everything after that is column expressions. Entities that cannot be read have etype CORRUPT.
+pts, radius, start_deg, end_deg, closed, text, name, rotation, xscale, yscale, attribs, units (of its file), once and each: its
+places when insertions are expanded once per block or at every insertion, null in files whose blocks are empty. So a file is
+parsed and its insertions are followed in one task, and everything after that is column expressions without a shuffle.
+
+What cannot be read never stops a file: entities without readable coordinates have etype CORRUPT, attributes without are left
+out, an unreadable unit counts as none, and a file ends at the first line that should be a group code and is no number.
 """
 
 from __future__ import annotations
 
+import contextlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,14 +26,15 @@ from .. import constants as K
 from ..functions import shapes
 from ..functions.text import any_of, block_type, block_type_v1, layer_name
 from ..functions.units import metres_per_unit
-from ..operators.drawings import fold
+from ..operators.drawings import ring_array
 from ..operators.texts import distinct_texts
 
 ENTITY = (
     f"block string, entity_no long, etype string, layer string, pts {shapes.RING}, radius double, start_deg double, end_deg double, closed boolean, text string, "
-    "name string, rotation double, xscale double, yscale double, attribs array<struct<text:string,x:double,y:double,layer:string>>, units int"
+    "name string, rotation double, xscale double, yscale double, attribs array<struct<text:string,x:double,y:double,layer:string,tag:string>>, units int, once array<struct<n:long,x:double,y:double>>, each array<struct<n:long,x:double,y:double>>"
 )
-NAMES = re.findall(r"(\w+) (?:string|long|int|double|boolean|array)", ENTITY.replace(shapes.RING, "array").replace("array<struct<text:string,x:double,y:double,layer:string>>", "array"))
+#: Entities of an output batch, about.
+ROWS_AT_ONCE = 20_000
 #: The formatting codes of multi-line texts.
 _FORMAT = re.compile(r"\\[ACcFfHhQTW][^;]*;|\\[LlOoKk]|[{}]")
 
@@ -38,132 +44,192 @@ def plain_text(raw: str) -> str:
     return _FORMAT.sub("", raw.replace("\\P", "\n").replace("\\~", " ")).replace("\\\\", "\\")
 
 
-def _pairs(content: str) -> Iterator[tuple[int, str]]:
+def _groups(content: str) -> tuple[list[int], list[str]]:
+    """Group codes and values, up to the first code that is no number."""
     lines = content.split("\n")
-    for code, value in zip(lines[::2], lines[1::2]):
-        try:
-            yield int(code), value.strip("\r")
-        except ValueError:
-            return
+    texts, values = lines[::2], lines[1::2]
+    known: dict[str, int] = {}
+    for text in set(texts):
+        with contextlib.suppress(ValueError):
+            known[text] = int(text)
+    if len(known) < len(set(texts)):
+        del texts[next(k for k, text in enumerate(texts) if text not in known) :]
+    codes = [known[text] for text in texts[: len(values)]]
+    if "\r" in content:
+        values = [v.strip("\r") for v in values]
+    return codes, values[: len(codes)]
 
 
 class _Entity:
-    """Collects the groups of one entity."""
+    """One entity's groups; of equal codes the first counts."""
 
-    def __init__(self, etype: str, block: str | None, number: int):
-        self.etype, self.block, self.number = etype, block, number
-        self.groups: list[tuple[int, str]] = []
-        self.points: list[dict] = []
-        self.attribs: list[dict] = []
+    __slots__ = ("etype", "block", "number", "codes", "values", "first", "points", "attribs")
 
-    def first(self, code: int, default: str | None = None) -> str | None:
-        return next((v for c, v in self.groups if c == code), default)
+    def __init__(self, etype: str, block: str | None, number: int, codes: list[int], values: list[str]):
+        self.etype, self.block, self.number, self.codes, self.values = etype, block, number, codes, values
+        self.first = dict(zip(codes[::-1], values[::-1]))
+        self.points: list[_Entity] = []
+        self.attribs: list[_Entity] = []
 
     def number_of(self, code: int, default: float = 0.0) -> float:
-        v = self.first(code)
+        v = self.first.get(code)
         return default if v is None else float(v)
 
-    def at(self, x: int = 10) -> dict:
-        return {"x": float(self.first(x)), "y": self.number_of(x + 10)}
+    def at(self, x: int = 10) -> tuple[float, float]:
+        return float(self.first[x]), self.number_of(x + 10)
+
+    def attributes(self) -> list[dict]:
+        """Of an insertion; those without a place take the insertion's, those with an unreadable one are left out."""
+        out, home = [], (self.number_of(10), self.number_of(20))
+        for a in self.attribs:
+            with contextlib.suppress(ValueError):
+                x, y = a.at() if a.first.get(10) else home
+                out.append({"text": a.first.get(1) or "", "x": x, "y": y, "layer": a.first.get(8), "tag": a.first.get(2)})
+        return out
 
     def row(self, units: int) -> tuple:
-        etype, pts, text = self.etype, [], None
-        radius = start = end = None
-        closed = False
+        etype, first, pts, attribs, text = self.etype, self.first, [], [], None
+        radius = start = end = rotation = None
+        scale, closed = (None, None), False
         try:
             if etype == "LINE":
                 pts = [self.at(), self.at(11)]
             elif etype == "LWPOLYLINE":
                 x = None
-                for code, v in self.groups:
+                for code, v in zip(self.codes, self.values):
                     if code == 10:
                         x = float(v)
                     elif code == 20 and x is not None:
-                        pts.append({"x": x, "y": float(v)})
+                        pts.append((x, float(v)))
                 closed = bool(int(self.number_of(70)) & 1)
             elif etype == "POLYLINE":
-                pts, closed = self.points, bool(int(self.number_of(70)) & 1)
+                pts, closed = [p.at() for p in self.points], bool(int(self.number_of(70)) & 1)
             elif etype in ("ARC", "CIRCLE"):
-                pts, radius = [self.at()], float(self.first(40))
+                pts, radius = [self.at()], float(first[40])
                 start, end = self.number_of(50), self.number_of(51, 360.0)
-            elif etype in ("TEXT", "ATTRIB", "ATTDEF", "INSERT"):
-                pts, text = [self.at()], self.first(1)
+            elif etype in ("TEXT", "ATTRIB", "ATTDEF"):
+                pts, text = [self.at()], first.get(1)
+            elif etype == "INSERT":
+                pts, text, rotation = [self.at()], first.get(1), self.number_of(50)
+                scale, attribs = (self.number_of(41, 1.0), self.number_of(42, 1.0)), self.attributes()
             elif etype == "MTEXT":
-                pts, text = [self.at()], plain_text("".join(v for c, v in self.groups if c in (1, 3)))
-        except (TypeError, ValueError):
-            etype = "CORRUPT"
-        scale = [self.number_of(c, 1.0) for c in (41, 42)] if etype == "INSERT" else [None, None]
-        rotation = self.number_of(50) if etype == "INSERT" else None
-        name = self.first(2) if etype in ("INSERT", "ATTRIB", "ATTDEF") else None
-        return (self.block, self.number, etype, self.first(8), pts, radius, start, end, closed, text, name, rotation, *scale, self.attribs, units)
+                pts, text = [self.at()], plain_text("".join(v for c, v in zip(self.codes, self.values) if c in (1, 3)))
+        except (KeyError, ValueError, OverflowError):
+            etype, pts, attribs, text = "CORRUPT", [], [], None
+            radius = start = end = rotation = None
+            scale, closed = (None, None), False
+        name = first.get(2) if self.etype in ("INSERT", "ATTRIB", "ATTDEF") else None
+        return (self.block, self.number, etype, first.get(8), pts, radius, start, end, closed, text, name, rotation, *scale, attribs, units)
+
+
+def _units(codes: list[int], values: list[str]) -> int:
+    """The code of the drawing unit in the header's groups, 0 if there is none that can be read."""
+    variable = None
+    for code, value in zip(codes, values):
+        if code == 9:
+            variable = value
+        elif code == 70 and variable == "$INSUNITS":
+            with contextlib.suppress(ValueError):
+                return int(value)
+    return 0
 
 
 def parse(content: str) -> list[tuple]:
-    """Entity rows of a file's text."""
+    """Entity rows of a file's text, without their places."""
+    codes, values = _groups(content)
+    starts = [k for k, code in enumerate(codes) if code == 0]
     out: list[_Entity] = []
     section = block = None
-    units, variable = 0, None
-    now: _Entity | None = None
     owner: _Entity | None = None  # of vertices or attributes that follow
-    number = 0
-    naming = False
-    for code, value in _pairs(content):
-        if code == 0:
-            now, naming = None, False
-            if value == "SECTION":
-                section = ""
-            elif value == "ENDSEC":
-                section = block = None
-            elif value == "BLOCK":
-                naming, block = True, None
-            elif value == "ENDBLK":
-                block = None
-            elif value == "SEQEND":
-                owner = None
-            elif section in ("ENTITIES", "BLOCKS") and (section == "ENTITIES" or block is not None):
-                number += 1
-                now = _Entity(value, block, number)
-                if value == "VERTEX" and owner:
-                    owner.points.append(now)
-                elif value == "ATTRIB" and owner:
-                    owner.attribs.append(now)
-                else:
-                    out.append(now)
-                    owner = now if value in ("POLYLINE", "INSERT") else None
-        elif section == "" and code == 2:
-            section = value
-        elif section == "HEADER":
-            if code == 9:
-                variable = value
-            elif variable == "$INSUNITS" and code == 70:
-                units = int(value)
-        elif naming and code == 2 and block is None:
-            block = value
-        elif now is not None:
-            now.groups.append((code, value))
-    for e in out:
-        try:
-            e.points = [p.at() for p in e.points]
-        except (TypeError, ValueError):
-            e.etype = "CORRUPT"
-        home = {"x": e.number_of(10), "y": e.number_of(20)} if e.etype == "INSERT" else None
-        e.attribs = [{"text": a.first(1) or "", **(a.at() if a.first(10) else home), "layer": a.first(8)} for a in e.attribs]
+    units = number = 0
+    for k, stop in zip(starts, [*starts[1:], len(codes)]):
+        value, own, said = values[k], codes[k + 1 : stop], values[k + 1 : stop]
+        if value == "SECTION":
+            section = said[own.index(2)] if 2 in own else ""
+            if section == "HEADER":
+                units = _units(own, said)
+        elif value == "ENDSEC":
+            section = block = None
+        elif value == "BLOCK":
+            block = said[own.index(2)] if 2 in own else None
+        elif value == "ENDBLK":
+            block = None
+        elif value == "SEQEND":
+            owner = None
+        elif section == "ENTITIES" or (section == "BLOCKS" and block is not None):
+            number += 1
+            now = _Entity(value, block, number, own, said)
+            if value == "VERTEX" and owner:
+                owner.points.append(now)
+            elif value == "ATTRIB" and owner:
+                owner.attribs.append(now)
+            else:
+                out.append(now)
+                owner = now if value in ("POLYLINE", "INSERT") else None
     return [e.row(units) for e in out]
 
 
+_BLOCK, _ETYPE, _PTS, _NAME = 0, 2, 4, 10
+
+
+def places(rows: list[tuple], every_instance: bool) -> list[list[dict]]:
+    """Per entity row where it is drawn: its number in the order of drawing, and how far it is moved.
+
+    A block's contents follow its insertion, once per drawing, or with every_instance at each insertion outside of itself. Rotation
+    and scale are left out. Block names compare in upper case."""
+    out: list[list[dict]] = [[] for _ in rows]
+    top, defined = [], {}
+    for k, r in enumerate(rows):
+        (top if r[_BLOCK] is None else defined.setdefault(r[_BLOCK].upper(), [])).append(k)
+    seen: set[str] = set()
+    number = 0
+    todo = [(iter(top), 0.0, 0.0, None)]
+    while todo:
+        inside, ox, oy, name = todo[-1]
+        k = next(inside, None)
+        if k is None:
+            todo.pop()
+            if every_instance and name is not None:
+                seen.discard(name)
+            continue
+        number += 1
+        out[k].append({"n": number, "x": ox, "y": oy})
+        if rows[k][_ETYPE] == "INSERT" and rows[k][_PTS]:
+            inner = (rows[k][_NAME] or "").upper()
+            if inner not in seen:
+                seen.add(inner)
+                x, y = rows[k][_PTS][0]
+                todo.append((iter(defined.get(inner, [])), ox + x, oy + y, inner))
+    return out
+
+
 def entities(files: DataFrame) -> DataFrame:
     """The entity table of (drawing_id, content). Whole files are parsed, one at a time."""
     kind = files.schema["drawing_id"].dataType.simpleString()
     schema = StructType.fromDDL(f"drawing_id {kind}, {ENTITY}")
     shape = to_arrow_schema(schema)
 
+    def batch_of(keys: list, rows: list[tuple]) -> pa.RecordBatch:
+        columns = [keys, *map(list, zip(*rows))]
+        return pa.RecordBatch.from_arrays([ring_array(c).cast(f.type) if f.name == "pts" else pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        held: list[tuple] = []
         for batch in batches:
             for key, content in zip(batch.column("drawing_id").to_pylist(), batch.column("content").to_pylist()):
                 rows = parse(content or "")
-                if rows:
-                    columns = [[key] * len(rows), *map(list, zip(*rows))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+                if any(r[_BLOCK] is not None for r in rows):
+                    rows = [(*r, once, each) for r, once, each in zip(rows, places(rows, False), places(rows, True))]
+                else:
+                    rows = [(*r, None, None) for r in rows]
+                held += rows
+                keys += [key] * len(rows)
+                if len(held) > ROWS_AT_ONCE:
+                    yield batch_of(keys, held)
+                    keys, held = [], []
+        if held:
+            yield batch_of(keys, held)
 
     return files.select("drawing_id", "content").mapInArrow(run, schema)
 
@@ -174,6 +240,39 @@ def read_dxf(spark: SparkSession, path: str) -> DataFrame:
     return entities(files.select(F.input_file_name().alias("drawing_id"), F.col("value").alias("content")))
 
 
+def converted(files: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:
+    """drawing_id, content, error of drawings in another form (drawing_id, raw): convert makes the exchange form of a file's bytes
+    with whatever converter the workers have, or raises; then content is null and error tells why."""
+    kind = files.schema["drawing_id"].dataType.simpleString()
+
+    def one(raw: bytes | None) -> tuple[str | None, str | None]:
+        try:
+            return convert(raw or b""), None
+        except Exception as problem:  # noqa: BLE001  whatever a caller's converter raises
+            return None, str(problem)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one file at a time
+                part = batch.slice(k, 1)
+                made = one(part.column("raw")[0].as_py())
+                yield pa.RecordBatch.from_arrays([part.column("drawing_id"), *(pa.array([v], pa.string()) for v in made)], ["drawing_id", "content", "error"])
+
+    return files.select("drawing_id", "raw").mapInArrow(run, f"drawing_id {kind}, content string, error string")
+
+
+def read_dwg(spark: SparkSession, path: str, convert: Callable[[bytes], str]) -> DataFrame:
+    """drawing_id, content, error of the .dwg files under a path, made by the caller's converter."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][wW][gG]").option("recursiveFileLookup", "true").load(path)
+    return converted(files.select(F.col("path").alias("drawing_id"), F.col("content").alias("raw")), convert)
+
+
+def uploads(rows: DataFrame) -> DataFrame:
+    """drawing_id, status, content of uploaded files (drawing_id, name, raw): .dxf files as texts, others with their status only."""
+    known = file_status(rows.withColumn("path", F.col("name"))).drop("path")
+    return known.select("drawing_id", "status", F.when(F.col("status") == "uploaded", F.decode("raw", "UTF-8")).alias("content"))
+
+
 def file_status(paths: DataFrame) -> DataFrame:
     """path, status of files by their extension: drawings in a proprietary form need a converter and are unsupported here."""
     lower = F.lower("path")
@@ -183,38 +282,12 @@ def file_status(paths: DataFrame) -> DataFrame:
 # ---- expansion ----------------------------------------------------------------------------------------------------------
 
 def expand(table: DataFrame, every_instance: bool = False) -> DataFrame:
-    """Entities in the order of drawing, those of inserted blocks after their insertion, moved by (ox, oy); visit_no is the new
-    order. Rotation and scale are left out. A block's contents appear once per drawing, or with every_instance at each
-    insertion outside of itself. Block names compare in upper case."""
-    cols = [n for n in NAMES if n not in ("block", "entity_no")]
-
-    def walk(drawing: dict):
-        top, defined = [], {}
-        for e in drawing["entities"]:
-            (top if e["block"] is None else defined.setdefault(e["block"].upper(), [])).append(e)
-        seen: set[str] = set()
-        number = 0
-        todo = [(iter(top), 0.0, 0.0, None)]
-        while todo:
-            rows, ox, oy, name = todo[-1]
-            e = next(rows, None)
-            if e is None:
-                todo.pop()
-                if every_instance and name is not None:
-                    seen.discard(name)
-                continue
-            number += 1
-            yield (number, ox, oy, e["block"] is not None, *(e[c] for c in cols))
-            if e["etype"] == "INSERT" and e["pts"]:
-                inner = (e["name"] or "").upper()
-                if inner not in seen:
-                    seen.add(inner)
-                    p = e["pts"][0]
-                    todo.append((iter(defined.get(inner, [])), ox + p["x"], oy + p["y"], inner))
-
-    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(ENTITY)}
-    schema = "visit_no long, ox double, oy double, in_block boolean, " + ", ".join(f"{n} {kinds[n]}" for n in cols)
-    return fold(("entities", table.select("drawing_id", "entity_no", "block", *cols)), {}, walk, schema)
+    """Entities in the order of drawing, those of inserted blocks after their insertion, moved by (ox, oy); visit_no is the order.
+    A block's contents appear once per drawing, or with every_instance at each insertion outside of itself."""
+    own = F.array(F.struct(F.col("entity_no").alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    placed = table.withColumn("_at", F.explode(F.coalesce("each" if every_instance else "once", own)))
+    kept = [c for c in table.columns if c not in ("block", "entity_no", "once", "each")]
+    return placed.select(*kept, F.col("block").isNotNull().alias("in_block"), F.col("_at.n").alias("visit_no"), F.col("_at.x").alias("ox"), F.col("_at.y").alias("oy"))
 
 
 def _moved() -> Column:
@@ -222,11 +295,10 @@ def _moved() -> Column:
 
 
 def _as_segments(rows: DataFrame) -> DataFrame:
-    """rows: drawing_id, visit_no, layer, line (points) -> segments numbered in order."""
+    """rows: drawing_id, visit_no, layer, line (points) -> segments; their numbers tell the order and have gaps."""
     steps = F.transform(F.sequence(F.lit(0), F.size("line") - 2), lambda k: F.struct(k.alias("k"), F.get("line", k).alias("a"), F.get("line", k + 1).alias("b")))
     cut = rows.where(F.size("line") > 1).select("drawing_id", "visit_no", "layer", F.explode(steps).alias("s"))
-    order = F.row_number().over(W.partitionBy("drawing_id").orderBy("visit_no", "s.k")).cast("long")
-    return cut.select("drawing_id", order.alias("seg_no"), F.col("s.a.x").alias("sx"), F.col("s.a.y").alias("sy"), F.col("s.b.x").alias("ex"), F.col("s.b.y").alias("ey"), "layer")
+    return cut.select("drawing_id", (F.shiftleft("visit_no", 32) + F.col("s.k")).alias("seg_no"), F.col("s.a.x").alias("sx"), F.col("s.a.y").alias("sy"), F.col("s.b.x").alias("ex"), F.col("s.b.y").alias("ey"), "layer")
 
 
 def _closing(points: Column) -> Column:
@@ -334,17 +406,27 @@ def inspection(table: DataFrame) -> DataFrame:
 
 # ---- writing ------------------------------------------------------------------------------------------------------------
 
-def dxf_text(lines: DataFrame, labels: DataFrame | None = None, inserts: DataFrame | None = None, units: int = 6) -> DataFrame:
-    """drawing_id, content: one file per drawing with its segments, texts and block insertions."""
-    def groups(*pairs) -> Column:
-        parts = [F.concat(F.lit(f"{code}\n"), (v if isinstance(v, Column) else F.lit(str(v))).cast("string"), F.lit("\n")) for code, v in pairs]
-        return F.concat(*parts)
+def groups(*pairs) -> Column:
+    """The text of group codes with values (columns or constants)."""
+    parts = [F.concat(F.lit(f"{code}\n"), (v if isinstance(v, Column) else F.lit(str(v))).cast("string"), F.lit("\n")) for code, v in pairs]
+    return F.concat(*parts)
+
+
+def dxf_text(lines: DataFrame, labels: DataFrame | None = None, inserts: DataFrame | None = None, units: Column | int = 6) -> DataFrame:
+    """drawing_id, content: one file per drawing with its segments, texts and block insertions. units: a number, or a column of
+    the drawing_id."""
 
     rows = lines.select("drawing_id", groups((0, "LINE"), (8, F.col("layer")), (10, F.col("sx")), (20, F.col("sy")), (11, F.col("ex")), (21, F.col("ey"))).alias("e"))
     if labels is not None:
         rows = rows.unionByName(labels.select("drawing_id", groups((0, "TEXT"), (8, "A-TEXT"), (10, F.col("x")), (20, F.col("y")), (1, F.col("text"))).alias("e")))
     if inserts is not None:
         rows = rows.unionByName(inserts.select("drawing_id", groups((0, "INSERT"), (8, "A-FURN"), (2, F.col("name")), (10, F.col("x")), (20, F.col("y"))).alias("e")))
-    head = f"0\nSECTION\n2\nHEADER\n9\n$INSUNITS\n70\n{units}\n0\nENDSEC\n0\nSECTION\n2\nENTITIES\n"
-    body = F.array_join(F.array_sort(F.collect_list("e")), "")
-    return rows.groupBy("drawing_id").agg(F.concat(F.lit(head), body, F.lit("0\nENDSEC\n0\nEOF\n")).alias("content"))
+    return file_of(rows, units)
+
+
+def file_of(entities: DataFrame, units: Column | int = 6, blocks: Column | None = None) -> DataFrame:
+    """drawing_id, content: files of entities (drawing_id, e: their groups), in the order of the texts. blocks: the groups of the
+    block section, a column of the drawing_id."""
+    head = F.concat(groups((0, "SECTION"), (2, "HEADER"), (9, "$INSUNITS"), (70, units), (0, "ENDSEC")), F.lit("") if blocks is None else F.concat(groups((0, "SECTION"), (2, "BLOCKS")), blocks, groups((0, "ENDSEC"))), groups((0, "SECTION"), (2, "ENTITIES")))
+    body = entities.groupBy("drawing_id").agg(F.array_join(F.array_sort(F.collect_list("e")), "").alias("body"))
+    return body.select("drawing_id", F.concat(head, "body", F.lit("0\nENDSEC\n0\nEOF\n")).alias("content"))
