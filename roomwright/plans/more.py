@@ -192,7 +192,9 @@ def svg_shapes(d: Drawings) -> DataFrame:
 
 # ---- units, fallbacks, merging ------------------------------------------------------------------------------------------
 
-_unit_codes = (4, 5, 6, 2)
+#: Units whose factors are exact in binary times a strip's coordinates: in feet, a room exactly 1.5 times as large as the next one
+#: counts as larger by rounding in some drawings, and as equal in others.
+_unit_codes = (4, 5, 6, 0)
 
 
 @query(
@@ -202,7 +204,7 @@ _unit_codes = (4, 5, 6, 2)
     C._by_area + ",\nkept AS (SELECT drawing_id,area_raw,row_number() OVER (PARTITION BY drawing_id ORDER BY area_raw,x0) AS room_no FROM byarea WHERE NOT (k=1 AND coalesce(area_raw>nxt*1.5,FALSE)))",
 )
 def mixed_units(d: Drawings) -> DataFrame:
-    """Drawings in millimetres, centimetres, metres and feet in one run: sizes by each file's own unit."""
+    """Drawings in millimetres, centimetres, metres and no unit in one run: sizes by each file's own unit."""
     code = F.element_at(F.array(*map(F.lit, _unit_codes)), (F.col("drawing_id") % 4 + 1).cast("int"))
     times = F.element_at(F.array(*[F.lit(1 / K.UNIT_METRES[u]) for u in _unit_codes]), (F.col("drawing_id") % 4 + 1).cast("int"))
     lines = d.segment.select("drawing_id", "layer", *[(F.col(v) * times).alias(v) for v in ("sx", "sy", "ex", "ey")])

@@ -262,7 +262,8 @@ def converted(files: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:
 
 
 def read_dwg(spark: SparkSession, path: str, convert: Callable[[bytes], str]) -> DataFrame:
-    """drawing_id, content, error of the .dwg files under a path, made by the caller's converter."""
+    """drawing_id, content, error of the .dwg files under a path, made by the caller's converter. The reader leaves out files of no
+    bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][wW][gG]").option("recursiveFileLookup", "true").load(path)
     return converted(files.select(F.col("path").alias("drawing_id"), F.col("content").alias("raw")), convert)
 

@@ -79,3 +79,38 @@ def test_stream(spark, folder, tmp_path):
 def test_file_kinds(spark):
     rows = spark.createDataFrame([("a.DXF",), ("b.dwg",), ("c.pdf",)], "path string")
     assert [r.status for r in dxf.file_status(rows).collect()] == ["uploaded", "unsupported", "rejected"]
+
+
+def test_each_file_has_its_own_unit(spark, tmp_path):
+    """The same two rooms in millimetres, feet and metres, and files that are broken in places."""
+    def scaled(times, unit):
+        out, codes = [], drawing(5).split("\n")
+        for code, value in zip(codes[::2], codes[1::2]):
+            out += [code, str(float(value) * times) if code in ("10", "11", "20", "21", "40") else unit if code == "70" else value]
+        return "\n".join(out) + "\n"
+
+    files = {"mm.dxf": scaled(1000, "4"), "feet.dxf": scaled(1 / 0.3048, "2"), "m.dxf": drawing(5), "none.dxf": drawing(5).replace("$INSUNITS\n70\n6", "$INSUNITS\n70\n?")}
+    broken = "0\nINSERT\n2\nX\n10\noops\n20\n1\n0\nINSERT\n2\nX\n10\n1\n20\n1\n0\nATTRIB\n1\nT\n10\nbad\n0\nSEQEND\n"
+    files["m.dxf"] = files["m.dxf"].replace("2\nENTITIES\n", "2\nENTITIES\n" + broken)
+    for name, content in files.items():
+        (tmp_path / name).write_text(content)
+    rows = engine.vector_rooms(engine.from_dxf(dxf.read_dxf(spark, str(tmp_path)))).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.drawing_id.rpartition("/")[2], []).append(round(r.area_sqft, 1))
+    assert {k: sorted(v) for k, v in got.items()} == {n: [pytest.approx(129.2, abs=0.2), pytest.approx(161.5, abs=0.2)] for n in files}
+
+
+def test_converter_and_uploads(spark, tmp_path):
+    (tmp_path / "a.DWG").write_bytes(drawing(5).encode()[::-1])
+    (tmp_path / "b.dwg").write_bytes(b"?")
+
+    def convert(raw):
+        if raw == b"?":
+            raise ValueError("broken")
+        return raw[::-1].decode()
+
+    got = {r.drawing_id.rpartition("/")[2]: r for r in dxf.read_dwg(spark, str(tmp_path), convert).collect()}
+    assert got["a.DWG"].content == drawing(5) and got["b.dwg"].content is None and got["b.dwg"].error == "broken"
+    rows = spark.createDataFrame([(1, "x.dxf", b"0\nEOF\n"), (2, "y.dwg", b"?"), (3, "z", None)], "drawing_id long, name string, raw binary")
+    assert [(r.drawing_id, r.status, r.content) for r in dxf.uploads(rows).orderBy("drawing_id").collect()] == [(1, "uploaded", "0\nEOF\n"), (2, "unsupported", None), (3, "rejected", None)]

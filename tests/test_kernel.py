@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from roomwright.operators import kernel, raster
@@ -95,3 +96,95 @@ def test_picture_rooms_lie_in_the_rooms(pad):
         real = [(x0, 0), (x1, 0), (x1, 6), (x0, 6)]
         common = kernel.common_area([tuple(p) for p in room[0]], real)
         assert common == pytest.approx(room[1], rel=0.02) and common > 0.85 * kernel.ring_area(real)
+
+
+def _random_rings(rng, n):
+    out = []
+    for _ in range(n):
+        x, y, w, h = rng.randint(0, 12) / 2, rng.randint(0, 12) / 2, rng.randint(1, 6) / 2, rng.randint(1, 6) / 2
+        ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        kind = rng.random()
+        if kind < 0.3:
+            ring.insert(1, (x + w / 4, y))
+        elif kind < 0.5:
+            ring = [(x, y), (x + w, y), (x + w / 2, y + h)]
+        elif kind < 0.6:
+            ring = [(x, y), (x + w, y), (x + w, y + h), (x + w / 2, y + h / 2), (x, y + h)]
+        out.append(ring)
+    return out
+
+
+def test_pairs_of_rings_at_once():
+    from roomwright.operators.drawings import plain, ring_array
+
+    rng = random.Random(1)
+    a, b = _random_rings(rng, 1500), _random_rings(rng, 1500)
+    first, second = (kernel.Rings(ring_array(r)) for r in (a, b))
+    assert 0.5 < first.box.mean() < 0.9
+    for got, one in ((kernel.common_areas(first, second), kernel.common_area), (kernel.covered_lengths(first, second), kernel.covered_length)):
+        assert max(abs(g - one(p, q)) for g, p, q in zip(got.tolist(), a, b)) < 1e-12
+    column = ring_array(a + [[]])
+    assert plain(column) == column.to_pylist() and plain(column[5:9]) == column[5:9].to_pylist()
+
+
+def test_nodes_of_many_drawings_at_once():
+    rng = random.Random(3)
+    owner, lines, want = [], [], set()
+    for d in range(60):
+        own = [tuple(float(rng.randint(0, 9)) if rng.random() < 0.7 else rng.random() * 9 for _ in range(4)) for _ in range(rng.randint(1, 25))]
+        owner += [d] * len(own)
+        lines += own
+        want |= {(d, *(round(v, 7) for v in e)) for e in kernel.node(own)}
+    who, edges = kernel.node_many(np.array(owner), np.array(lines), pairs_at_once=50)
+    assert {(d, *(round(v, 7) for v in e)) for d, e in zip(who.tolist(), edges.tolist())} == want
+
+
+def test_simple_rings_and_chains():
+    assert kernel.is_simple([(0, 0), (1, 0), (1, 1), (0, 1)])
+    assert not kernel.is_simple([(0, 0), (1, 1), (1, 0), (0, 1)]) and not kernel.is_simple([(0, 0), (2, 0), (1, 0), (1, 1)]) and not kernel.is_simple([(0, 0), (1, 1)])
+    assert kernel.chains([(0, 0, 1, 0), (1, 0, 2, 0), (2, 0, 3, 1), (5, 5, 6, 5), (6, 5, 6, 6), (5, 5, 6, 6)]) == [[(0, 0), (1, 0), (2, 0), (3, 1)], [(5, 5), (6, 5), (6, 6), (5, 5)]]
+
+
+def test_areas_of_pictures_are_connected():
+    def plain(free):
+        out, number = np.zeros(free.shape, int), 0
+        for y, x in zip(*np.nonzero(free)):
+            if out[y, x]:
+                continue
+            number += 1
+            todo = [(y, x)]
+            while todo:
+                v, u = todo.pop()
+                if 0 <= v < free.shape[0] and 0 <= u < free.shape[1] and free[v, u] and not out[v, u]:
+                    out[v, u] = number
+                    todo += [(v + 1, u), (v - 1, u), (v, u + 1), (v, u - 1)]
+        return out
+
+    rng = np.random.default_rng(7)
+    for share in (0.3, 0.6, 0.9):
+        for _ in range(30):
+            free = rng.random((rng.integers(1, 40), rng.integers(1, 40))) < share
+            a, b = raster.labelled(free), plain(free)
+            assert ((a > 0) == (b > 0)).all()
+            pairs = set(zip(a[a > 0].tolist(), b[b > 0].tolist()))
+            assert len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+
+
+def test_one_drawing_of_5000_rooms(spark):
+    """A grid of rooms in one drawing: neighbours, overlaps and nesting by cells, against what a grid must have."""
+    from pyspark.sql import functions as F
+
+    from roomwright.functions import shapes
+    from roomwright.operators import adjacency, matching, rooms
+
+    wide, high = 100, 50
+    ids = spark.range(wide * high).select(F.lit(1).cast("long").alias("drawing_id"), (F.col("id") + 1).alias("room_no"), (F.col("id") % wide * 3.0).alias("x"), (F.floor(F.col("id") / wide) * 2.0).alias("y"))
+    table = ids.select("drawing_id", "room_no", shapes.rectangle(F.col("x"), F.col("y"), F.col("x") + 3, F.col("y") + 2).alias("ring"), F.lit(6.0).alias("area_raw"))
+    walls = adjacency.shared_walls(table).groupBy("length").count().collect()
+    assert {(r.length, r["count"]) for r in walls} == {(2.0, (wide - 1) * high), (3.0, wide * (high - 1))}
+    moved = ids.select("drawing_id", F.col("room_no").alias("no"), shapes.rectangle(F.col("x") + 1, F.col("y"), F.col("x") + 4, F.col("y") + 2).alias("ring"))
+    found = matching.overlaps(table.select("drawing_id", F.col("room_no").alias("no"), "ring"), moved).groupBy(F.round("iou", 3).alias("iou")).count().collect()
+    assert {(r.iou, r["count"]) for r in found} == {(0.5, wide * high), (0.2, (wide - 1) * high)}
+    whole = table.unionByName(spark.range(1).select(F.lit(1).cast("long").alias("drawing_id"), F.lit(0).cast("long").alias("room_no"), shapes.rectangle(*map(F.lit, (0.0, 0.0, 3.0 * wide, 2.0 * high))).alias("ring"), F.lit(6.0 * wide * high).alias("area_raw")))
+    assert [r.room_no for r in rooms.without_nested(whole).collect()] == [0]
+    assert rooms.without_containers(whole).count() == wide * high
