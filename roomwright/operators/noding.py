@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRID = 16
+from .spatial import cells_along
 
 
 def endpoints(segments: DataFrame, digits: int = 6) -> DataFrame:
@@ -49,16 +49,16 @@ def with_bridges(segments: DataFrame, **gaps) -> DataFrame:
     return segments.unionByName(gap_bridges(segments, **gaps).withColumn("layer", F.lit("BRIDGE")), allowMissingColumns=True)
 
 
-def node_edges(segments: DataFrame, grid: int = GRID, digits: int = 9) -> DataFrame:
+def node_edges(segments: DataFrame, digits: int = 9) -> DataFrame:
     """drawing_id, ax, ay, bx, by: segments cut wherever they meet, as distinct undirected edges (a before b).
 
-    A drawing's extent is cut into grid x grid cells; only segments that share a cell are compared. So a giant drawing
-    spreads over many tasks, and no geometry is ever held as a whole.
+    A drawing's extent is cut into cells, more of them the more segments it has; only segments that share a cell are compared.
+    So a giant drawing spreads over many tasks, and no geometry is ever held as a whole.
     """
     xs, ys = (F.least("sx", "ex"), F.greatest("sx", "ex")), (F.least("sy", "ey"), F.greatest("sy", "ey"))
     s = segments.where((F.col("sx") != F.col("ex")) | (F.col("sy") != F.col("ey"))).select("drawing_id", "sx", "sy", "ex", "ey").distinct()
-    box = s.groupBy("drawing_id").agg(F.min(xs[0]).alias("_x"), F.min(ys[0]).alias("_y"), F.greatest(F.max(xs[1]) - F.min(xs[0]), F.max(ys[1]) - F.min(ys[0])).alias("_size"))
-    s = s.join(box, "drawing_id").withColumn("_step", F.greatest(F.col("_size"), F.lit(1e-9)) / grid)
+    box = s.groupBy("drawing_id").agg(F.min(xs[0]).alias("_x"), F.min(ys[0]).alias("_y"), F.greatest(F.max(xs[1]) - F.min(xs[0]), F.max(ys[1]) - F.min(ys[0])).alias("_size"), cells_along(F.count(F.lit(1))).alias("_grid"))
+    s = s.join(box, "drawing_id").withColumn("_step", F.greatest(F.col("_size"), F.lit(1e-9)) / F.col("_grid"))
 
     def cells(span: tuple[Column, Column], origin: str) -> Column:
         return F.sequence(*[F.floor((v + d - F.col(origin)) / F.col("_step")) for v, d in ((span[0], -1e-9), (span[1], 1e-9))])

@@ -7,23 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes
 
-GRID = 16
+#: Boxes that a cell of a drawing's grid holds on average, and the most cells along one side.
+PER_CELL, MOST_CELLS = 4, 512
 
 
-def points_near_rooms(points: DataFrame, rooms: DataFrame, reach: Column, test, grid: int = GRID) -> DataFrame:
+def cells_along(count: Column) -> Column:
+    """How many cells along each side the extent of so many boxes is cut into."""
+    return F.least(F.lit(MOST_CELLS), F.greatest(F.lit(1), F.floor(F.sqrt(count / PER_CELL))))
+
+
+def points_near_rooms(points: DataFrame, rooms: DataFrame, reach: Column, test) -> DataFrame:
     """points x rooms of the same drawing whose bounding box comes within `reach` of the point (columns x, y) and for which
     test(ring, x, y, reach) holds; columns of points, and room_no.
 
-    The rooms' extent is cut into grid x grid cells; a point goes to its own cell (clamped to the extent), a room to those
-    that its box, widened by the drawing's largest reach, touches. So a pair meets in one cell only.
+    The rooms' extent is cut into cells, more of them the more rooms there are; a point goes to its own cell (clamped to the
+    extent), a room to those that its box, widened by the drawing's largest reach, touches. So a pair meets in one cell only.
     """
     most = points.groupBy("drawing_id").agg(F.max(reach).alias("_most"))
     boxed = rooms.select("drawing_id", "room_no", "ring", shapes.bounds(F.col("ring")).alias("_b"))
-    extent = boxed.groupBy("drawing_id").agg(F.min("_b.x0").alias("_x0"), F.min("_b.y0").alias("_y0"), F.greatest(F.max("_b.x1") - F.min("_b.x0"), F.max("_b.y1") - F.min("_b.y0"), F.lit(1e-9)).alias("_size"))
+    extent = boxed.groupBy("drawing_id").agg(F.min("_b.x0").alias("_x0"), F.min("_b.y0").alias("_y0"), F.greatest(F.max("_b.x1") - F.min("_b.x0"), F.max("_b.y1") - F.min("_b.y0"), F.lit(1e-9)).alias("_size"), cells_along(F.count(F.lit(1))).alias("_grid"))
     frame = extent.join(most, "drawing_id")
 
     def cell(v: Column, origin: str) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor((v - F.col(origin)) / F.col("_size") * grid)))
+        return F.greatest(F.lit(0), F.least(F.col("_grid") - 1, F.floor((v - F.col(origin)) / F.col("_size") * F.col("_grid"))))
 
     def cells(low: Column, high: Column, origin: str) -> Column:
         return F.sequence(cell(low - F.col("_most"), origin), cell(high + F.col("_most"), origin))
@@ -45,7 +51,7 @@ def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     with the pairs that are near each other, and a giant drawing spreads over its cells.
     """
     size = F.greatest(F.max("a.box.x1") - F.min("a.box.x0"), F.max("a.box.y1") - F.min("a.box.y0"), F.lit(1e-9))
-    grid = F.least(F.lit(512), F.greatest(F.lit(1), F.floor(F.sqrt(F.count(F.lit(1)) / 4))))
+    grid = cells_along(F.count(F.lit(1)))
     frame = left.groupBy("drawing_id").agg(F.min("a.box.x0").alias("_x0"), F.min("a.box.y0").alias("_y0"), size.alias("_size"), grid.alias("_grid"))
 
     def cell(v: Column, origin: str) -> Column:
