@@ -7,8 +7,8 @@ reaching a grade.
 
 Features of a white-space-separated stretch: its letters and digits in lower case, their first 5 and 7, the marks around
 them, and whether it repeats its predecessor. All stretches of a text count, once per distinct feature. Fitting takes a bounded sample
-of labelled texts: those with the smallest hashes, at most `SAMPLE_ROWS` of them and at most `SAMPLE_FEATURES` features in
-all (but one text at least); only hashed features go to the driver. An L1 penalty leaves weights on few features, so that long
+of labelled texts: the ids with grades of the smallest hashes, at most `SAMPLE_ROWS` of them and of their texts, and at most
+`SAMPLE_FEATURES` features in all (but one text at least); only hashed features go to the driver. An L1 penalty leaves weights on few features, so that long
 texts do not gather noise.
 
 Defined results: a null or empty text has no features and score 0; a label row without grade is left out; documents without
@@ -140,8 +140,10 @@ def fit_quality(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "
     """Fits on at most sample_rows of the labelled texts of `graded` (id, grade from 0 to grades - 1)."""
     rated = graded.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{grade_col}`").cast("int").alias("grade")).where("grade is not null and _id is not null").distinct()
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    #: Texts are read for their hashes first; the sample is what has the smallest, so copies of a row come once.
-    hashed = texts.join(rated, "_id").select("text", "grade", F.xxhash64(F.col("_id").cast("string"), "grade", "text").alias("h"))
+    #: At most sample_rows ids with grades, so they can be broadcast; texts move nowhere.
+    chosen = rated.orderBy(F.xxhash64(F.col("_id").cast("string"), "grade"), "_id", "grade").limit(sample_rows)
+    #: An id can have any number of texts. They are read for their hashes first, and the smallest make the sample, copies once.
+    hashed = texts.join(F.broadcast(chosen), "_id").select("text", "grade", F.xxhash64(F.col("_id").cast("string"), "grade", "text").alias("h"))
     least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample_rows).collect()]
     if not least:
         return fit_ordinal([], grades)
